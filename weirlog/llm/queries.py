@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weirlog.llm import pii
+from weirlog.llm import neardup, pii
 from weirlog.llm.common import documents
 
 
@@ -10,5 +10,9 @@ def op4_pii(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_pii": op4_pii}
-ORACLE_SQL: dict[str, str] = {}
+def op8_ngram_jaccard_join(spark, sf_dir):
+    return neardup.join(documents(spark, sf_dir))
+
+
+QUERIES = {"op4_pii": op4_pii, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+ORACLE_SQL = {"op8_ngram_jaccard_join": neardup.SQL}
