@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import zipfile
 from pathlib import Path
@@ -51,3 +53,22 @@ def slices(lengths: list[int], most: int):
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+def lean(work):
+    """A batch function whose worker gives free memory back to the system after each task, so that reused workers stay small."""
+
+    @functools.wraps(work)
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+
+    return run

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from weirlog.llm import neardup, pii
+from weirlog.llm import mixing, neardup, packing, pii
 from weirlog.llm.common import documents
 
 
+def op3_mix_sources(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op4_pii(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
 
@@ -14,5 +18,9 @@ def op8_ngram_jaccard_join(spark, sf_dir):
     return neardup.join(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_pii": op4_pii, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
-ORACLE_SQL = {"op8_ngram_jaccard_join": neardup.SQL}
+def op10_best_fit_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir))
+
+
+QUERIES = {"op3_mix_sources": op3_mix_sources, "op4_pii": op4_pii, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing}
+ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op8_ngram_jaccard_join": neardup.SQL}
