@@ -31,8 +31,10 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/weirlog-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame, *partition_by: str) -> DataFrame:
+    def write(self, df: DataFrame, *partition_by: str, wide: bool = False) -> DataFrame:
+        """The table, read back. Unless it is `wide` (made in one pass over whole texts), it is written by at most twice as many tasks as the cluster has cores, to keep small files few."""
         path = f"{self.root}/{len(self.paths)}"
+        df = df if wide else df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
