@@ -111,7 +111,7 @@ def _decided(rows: DataFrame, sources: list) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, times for every document."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(_measured(docs))
+    rows = scratch.write(_measured(docs), wide=True)
     out = _decided(rows, plan(rows)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
     return scratch.keep_for(out)
 
@@ -119,7 +119,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, all columns, each as many times as it is taken."""
     scratch = Scratch(docs.sparkSession)
-    sources = plan(scratch.write(_measured(docs)))
+    sources = plan(scratch.write(_measured(docs), wide=True))
     packed = docs.select(F.col("source").cast("string").alias("source"), key().alias("key"), F.struct("*").alias("__row"))
     taken = _decided(packed, sources).withColumn("__n", F.explode(F.expr("array_repeat(0, cast(times as int))")))
     return scratch.keep_for(taken.select("__row.*"))

@@ -169,7 +169,7 @@ class Packer:
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset."""
     scratch = Scratch(docs.sparkSession)
-    table = scratch.write(pieces(docs, capacity).withColumn("row", F.monotonically_increasing_id()))
+    table = scratch.write(pieces(docs, capacity).withColumn("row", F.monotonically_increasing_id()), wide=True)
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = {k: tuple(np.array([getattr(s, f) for s in v], np.int64) for f in ("rank", "base", "each", "offset")) for k, v in Packer(counts, capacity).segments.items()}
     groups = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(GROUPS, -(-n // GROUP))))) if counts else F.lit(None).cast("map<bigint,int>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weirlog.llm import mixing, neardup, packing, pii
+from weirlog.llm import mixing, neardup, packing, pii, topk
 from weirlog.llm.common import documents
 
 
@@ -14,6 +14,11 @@ def op4_pii(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
 
 
+def op6_exact_topk(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vectors, vectors.filter(f"vec_id % {topk.EVERY} = 0"))
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     return neardup.join(documents(spark, sf_dir))
 
@@ -22,5 +27,5 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op4_pii": op4_pii, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing}
-ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op8_ngram_jaccard_join": neardup.SQL}
+QUERIES = {"op3_mix_sources": op3_mix_sources, "op4_pii": op4_pii, "op6_exact_topk": op6_exact_topk, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing}
+ORACLE_SQL = {"op6_exact_topk": topk.SQL, "op3_mix_sources": mixing.SQL, "op8_ngram_jaccard_join": neardup.SQL}
