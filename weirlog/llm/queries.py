@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from weirlog.llm import mixing, neardup, packing, pii, topk
+from weirlog.llm import media, mixing, neardup, packing, pii, sharding, topk
 from weirlog.llm.common import documents
 
 
+def op1_avi_clips(spark, sf_dir):
+    return media.digests(media.store(documents(spark, sf_dir)))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
@@ -23,9 +27,13 @@ def op8_ngram_jaccard_join(spark, sf_dir):
     return neardup.join(documents(spark, sf_dir))
 
 
+def op9_label_propagation(spark, sf_dir):
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op4_pii": op4_pii, "op6_exact_topk": op6_exact_topk, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_avi_clips": op1_avi_clips, "op3_mix_sources": op3_mix_sources, "op4_pii": op4_pii, "op6_exact_topk": op6_exact_topk, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_label_propagation": op9_label_propagation, "op10_best_fit_packing": op10_best_fit_packing}
 ORACLE_SQL = {"op6_exact_topk": topk.SQL, "op3_mix_sources": mixing.SQL, "op8_ngram_jaccard_join": neardup.SQL}
