@@ -3,7 +3,7 @@
 Documents become sets of five-word shingles. Documents with one set collapse to a representative.
 Each representative is embedded by min-wise hashing; a run samples one coordinate and puts the
 representative into the bucket of its value there. Runs repeat until a pair at the threshold shares
-a bucket with the target recall. A bucket above `BUCKET` members is split again on two sampled
+a bucket with the target recall. A bucket above `BUCKET` members is split again on sampled
 coordinates, down to `DEPTH` levels; what is still large then is alike in every sampled coordinate
 and is kept together whole. Buckets are compared by brute force on sketches, which only unites
 documents into families (with a wide margin below the threshold); inside each family every pair is
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirlog.llm.common import ship, slices, text_or_empty
+from weirlog.llm.common import lean, ship, slices, text_or_empty
 from weirlog.llm.components import components
 from weirlog.scratch import Scratch
 
@@ -35,7 +35,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of at least 4 / 5
 COORDINATES, RECALL = 64, 0.999999999
 #: Agreeing coordinates of 64 from which two sketches are united; at the threshold fewer have a chance of about 3e-8.
 UNITE = 30
-BUCKET, DEPTH, BRANCH = 256, 3, 2
+#: Members up to which a bucket is compared by brute force; levels; coordinates sampled at the second level and below it.
+BUCKET, DEPTH, BRANCH = 1024, 4, (2, 1, 1)
 BLOCK, WHOLE = 64, 128
 BITMAP = 1 << 23
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -110,7 +111,7 @@ def _embedded(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes), flat, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["doc_id", "h", "digest", "n", "keys", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(go, "doc_id long, h long, digest binary, n long, keys array<long>, sketch binary")
+    return rows.mapInArrow(lean(go), "doc_id long, h long, digest binary, n long, keys array<long>, sketch binary")
 
 
 def row_hash():
@@ -176,13 +177,13 @@ def _family_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
             if large.isEmpty():
                 break
             # Two coordinates sampled by the bucket's path; the child's path is the parent's and the value there.
-            child = [F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(COORDINATES)) + 1 for j in range(BRANCH)]
+            child = [F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(COORDINATES)) + 1 for j in range(BRANCH[level - 1])]
             value = [F.xxhash64("key", c, F.substring("sketch", c.cast("int"), F.lit(1))) for c in child]
             rows = large.select(F.explode(F.array(*value)).alias("key"), "rep", "sketch")
     leaves = small[0]
     for more in small[1:]:
         leaves = leaves.union(more)
-    found = leaves.repartition("key").sortWithinPartitions("key").mapInArrow(_unite, "a long, b long")
+    found = leaves.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_unite), "a long, b long")
     return found if stars is None else found.union(stars)
 
 
@@ -244,21 +245,21 @@ def classes(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    rows = scratch.write(_embedded(docs))
+    rows = scratch.write(_embedded(docs), wide=True)
     # The first document of a set is the one of the smallest id, null last.
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     reps = scratch.write(
         rows.filter("n > 0").groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("rep", F.monotonically_increasing_id())
     )
-    families = scratch.write(components(_family_edges(reps, scratch), scratch).select(F.col("node").alias("rep"), F.col("root").alias("family")))
+    families = components(_family_edges(reps, scratch), scratch).select(F.col("node").alias("rep"), F.col("root").alias("family"))
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
     member = scratch.write(families.join(sizes, "family").join(reps.select("rep", "copies", F.col("first.h").alias("h")), "rep").withColumn("blocks", F.when(F.col("members") <= WHOLE, F.lit(1)).otherwise(F.ceil(F.col("members") / BLOCK))))
-    near = scratch.write(_linked(docs, member))
+    near = scratch.write(_linked(docs, member), wide=True)
     # Families compared whole have their roots; those compared in blocks still have to join theirs.
     joined = components(near.filter("blocks > 1").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = near.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
     rooted = links.join(joined.select(F.col("node").alias("rep"), F.col("root").alias("far")), "rep", "left").select("rep", "links", F.when(F.col("blocks") > 1, F.coalesce("far", "rep")).otherwise(F.col("root")).alias("root"))
-    known = scratch.write(reps.join(rooted, "rep", "left").select("digest", "first", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    known = reps.join(rooted, "rep", "left").select("digest", "first", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     firsts = known.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("sets")).filter("sets > 1").select("root", F.col("first").alias("class"))
     told = known.join(firsts, "root", "left").select("digest", F.coalesce("class", "first").alias("class"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
     alone = rows.filter("n = 0").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("first_h"))
@@ -287,7 +288,7 @@ def _linked(docs: DataFrame, member: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     placed = texts.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block", "copies", "blocks", "text")
-    return placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep").mapInArrow(_verify, "rep long, root long, links long, blocks long")
+    return placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep").mapInArrow(lean(_verify), "rep long, root long, links long, blocks long")
 
 
 def join(docs: DataFrame) -> DataFrame:

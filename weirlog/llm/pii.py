@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirlog.llm.common import ship, text_or_empty
+from weirlog.llm.common import lean, ship, text_or_empty
 
 # Kinds in the order that breaks ties between spans with one start.
 KINDS = ("email", "ip", "card", "phone", "iban", "id")
@@ -156,7 +156,7 @@ def find(docs: DataFrame) -> DataFrame:
             top = [max((x[3] for x in r), default=None) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array([joined(r) for r in rows], pa.string()), pa.array(more, pa.int64()), pa.array(top, pa.float64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more", "max_score"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(scan, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(lean(scan), _SCHEMA)
 
 
 def redact(docs: DataFrame, least: float = 0.0) -> DataFrame:
