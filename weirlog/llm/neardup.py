@@ -168,7 +168,7 @@ def _family_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
     small, stars = [], None
     for level in range(1, DEPTH + 1):
         shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("least")).filter("members > 1")
-        rows = scratch.write(rows.join(shared, "key"))
+        rows = scratch.write(rows.join(shared, "key"), wide=True)
         small.append(rows.filter(F.col("members") <= BUCKET).select("key", "rep", "sketch"))
         large = rows.filter(F.col("members") > BUCKET)
         if level == DEPTH:
