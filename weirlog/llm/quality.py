@@ -30,7 +30,7 @@ from weirlog.llm.learning import Adam, sample, sigmoid, thinned
 
 FOLDS, HELD, ACCEPT = 4, 2, 0.7
 POSITIVES, UNLABELLED = 12_000, 24_000
-STEPS, RATE, DECAY = 1500, 0.03, 1e-4
+STEPS, RATE, DECAY = 300, 0.05, 0.05
 
 # The kinds of characters by byte; every other punctuation mark is one kind.
 _OWN = b"!.,|$%&*#-"

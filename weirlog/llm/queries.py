@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weirlog.llm import brown, media, mixing, neardup, packing, pii, quality, sharding, topk
+from weirlog.llm import brown, media, mixing, neardup, packing, pii, quality, sharding, topk, toxicity
 from weirlog.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_pii(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
 
 
+def op5_toxicity_grades(spark, sf_dir):
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_exact_topk(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.search(vectors, vectors.filter(f"vec_id % {topk.EVERY} = 0"))
@@ -43,5 +47,5 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_avi_clips": op1_avi_clips, "op2_quality_pu": op2_quality_pu, "op3_mix_sources": op3_mix_sources, "op4_pii": op4_pii, "op6_exact_topk": op6_exact_topk, "op7_brown_lm": op7_brown_lm, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_label_propagation": op9_label_propagation, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_avi_clips": op1_avi_clips, "op2_quality_pu": op2_quality_pu, "op3_mix_sources": op3_mix_sources, "op4_pii": op4_pii, "op5_toxicity_grades": op5_toxicity_grades, "op6_exact_topk": op6_exact_topk, "op7_brown_lm": op7_brown_lm, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_label_propagation": op9_label_propagation, "op10_best_fit_packing": op10_best_fit_packing}
 ORACLE_SQL = {"op6_exact_topk": topk.SQL, "op3_mix_sources": mixing.SQL, "op8_ngram_jaccard_join": neardup.SQL}
