@@ -32,9 +32,9 @@ from weirlog.llm.learning import Adam, sample, sigmoid
 FOLDS, HELD = 4, 2
 TOXIC, CLEAN, GRADES = 6_000, 18_000, 3
 #: Features kept: at most so many, in at least so many toxic texts, so many times likelier there (as a logarithm).
-FEATURES, SUPPORT, ODDS = 4096, 3, 2.0
+FEATURES, SUPPORT, ODDS = 4096, 4, 3.0
 PREFIXES = (4, 5, 6)
-STEPS, RATE, DECAY, TOXIC_AT = 400, 0.05, 1e-4, 0.5
+STEPS, RATE, DECAY, TOXIC_AT = 400, 0.1, 1e-5, 0.5
 HOLD = 250_000
 _EDGE = b".,;:!?'\"()[]{}*%&$#|-"
 
@@ -81,9 +81,10 @@ class Model:
         return sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and ordered thresholds of greatest likelihood."""
-    n = len(rows)
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, size: int, balanced: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Shared weights and ordered thresholds of greatest likelihood; if balanced, toxic rows weigh as much as clean ones in sum."""
+    n, toxic = len(rows), int((grade > 0).sum())
+    weight = np.where(grade > 0, 0.5 / max(1, toxic), 0.5 / max(1, n - toxic)) if balanced else np.full(n, 1 / n)
     row = np.repeat(np.arange(n), [len(a) for a, _ in rows])
     col = np.concatenate([a for a, _ in rows]) if n else np.empty(0, np.int64)
     val = np.concatenate([v for _, v in rows]) if n else np.empty(0)
@@ -100,10 +101,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, size: int)
         p = np.maximum(high - low, 1e-9)
         # Slope of -log p in the two cumulative chances of the row's grade.
         dh, dl = high * (1 - high) / p, low * (1 - low) / p
-        ds = (dl - dh) / n
+        ds = (dl - dh) * weight
         dt = np.zeros(GRADES)
-        np.add.at(dt, (grade - 1)[grade > 0], dh[grade > 0] / n)
-        np.add.at(dt, grade[grade < GRADES], -dl[grade < GRADES] / n)
+        np.add.at(dt, (grade - 1)[grade > 0], (dh * weight)[grade > 0])
+        np.add.at(dt, grade[grade < GRADES], -(dl * weight)[grade < GRADES])
         tail = np.cumsum(dt[::-1])[::-1]
         steps = np.concatenate((tail[:1], tail[1:] * np.exp(x[size + 1 :])))
         gradient = np.concatenate((np.bincount(col, val * ds[row], size) + DECAY * x[:size], steps))
