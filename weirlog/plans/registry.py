@@ -1,4 +1,9 @@
 """Every named query of the library with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from weirlog.plans import signals
+
+_PLANS = (signals,)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
