@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weirlog.plans import signals
+from weirlog.plans import hosts, signals
 
-_PLANS = (signals,)
+_PLANS = (signals, hosts)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
