@@ -85,7 +85,7 @@ def facets(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
 def keyset_page(rows: DataFrame, key: list[str], after: tuple | None, limit: int) -> DataFrame:
     """The next rows in order of the key, after a cursor."""
     if after is not None:
-        rows = rows.filter(F.struct(*key) > F.struct(*(F.lit(v) for v in after)))
+        rows = rows.filter(F.struct(*key) > F.struct(*(F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(key, after, strict=True))))
     return rows.orderBy(*key).limit(limit)
 
 
