@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weirlog.plans import fleet, hosts, ingest, signals, views
+from weirlog.plans import fleet, hosts, ingest, reconcile, signals, views
 
-_PLANS = (signals, hosts, ingest, views, fleet)
+_PLANS = (signals, hosts, ingest, views, fleet, reconcile)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
