@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from weirlog.shipping import ship
+
 # Alphabets of the encodings.
 BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -72,6 +74,13 @@ def tid(micros: int, clock: int = 0) -> str:
     return "".join(SORT32[n >> 5 * i & 31] for i in reversed(range(13)))
 
 
+def _batched(kind: str):
+    """An Arrow-batched function, with this package at hand on the executors."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
+    return F.pandas_udf(kind)
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -79,7 +88,7 @@ def _signed(h: int) -> int:
 def fnv1a_of(c: Column) -> Column:
     """64-bit FNV-1a of a string's UTF-8 bytes as two's complement."""
 
-    @F.pandas_udf("long")
+    @_batched("long")
     def hashed(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else _signed(fnv1a(x.encode()))).astype("Int64")
 
@@ -87,7 +96,7 @@ def fnv1a_of(c: Column) -> Column:
 
 
 def did_bytes(c: Column) -> Column:
-    @F.pandas_udf("binary")
+    @_batched("binary")
     def decoded(s: pd.Series) -> pd.Series:
         return s.map(lambda x: base32_decode(x) if x is not None else None)
 
@@ -95,7 +104,7 @@ def did_bytes(c: Column) -> Column:
 
 
 def tid_micros_of(c: Column) -> Column:
-    @F.pandas_udf("long")
+    @_batched("long")
     def decoded(s: pd.Series) -> pd.Series:
         return s.map(lambda x: tid_micros(x) if x is not None else None).astype("Int64")
 

@@ -138,3 +138,30 @@ def resume_feed(feed: DataFrame, after: int, capacity: int) -> DataFrame:
     ends = feed.agg(F.max("n").alias("head")).withColumn("floor", F.greatest(F.col("head") - capacity, F.lit(0)))
     state = ends.select("head", "floor", F.when(F.lit(after) > F.col("head"), "unknown").when(F.lit(after) < F.col("floor"), "expired").otherwise("ok").alias("state"))
     return feed.join(F.broadcast(state)).filter((F.col("state") == "ok") & (F.col("n") > after)).select(*feed.columns)
+
+
+def rebalance(hosts: DataFrame, members: list[str], most: int | None = None) -> list[tuple[str, str]]:
+    """Moves (host, new owner) that even out owned hosts among members until no two differ by more than one.
+
+    Each takes from the member with the most (of equals the last by name) to the one with the fewest (the first by
+    name), the host of the receiver's highest affinity; a round makes at most a 64th of all hosts, at least 4. The
+    host table is a cluster's own, so the rows of its members fit the driver.
+    """
+    import hashlib
+
+    rows = hosts.select("host", "owner").collect()
+    held: dict[str, list[str]] = {m: [] for m in sorted(members)}
+    for r in rows:
+        if r["owner"] in held:
+            held[r["owner"]].append(r["host"])
+    affinity = lambda m, h: hashlib.sha256(f"{m}/{h}".encode()).hexdigest()
+    limit, out = max(len(rows) // 64, 4) if most is None else most, []
+    while held and len(out) < limit:
+        high, low = max(held, key=lambda m: (len(held[m]), m)), min(held, key=lambda m: (len(held[m]), m))
+        if len(held[high]) <= len(held[low]) + 1:
+            break
+        h = max(held[high], key=lambda x: affinity(low, x))
+        held[high].remove(h)
+        held[low].append(h)
+        out.append((h, low))
+    return out

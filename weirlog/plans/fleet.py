@@ -92,6 +92,12 @@ def host_assignment(spark, d):
     return rollup.rendezvous(table(spark, d, "customer").select(F.col("c_name").alias("host")), _members(spark).filter("healthy"))
 
 
+def host_rebalance(spark, d):
+    """One round after a member joined without hosts."""
+    hosts = table(spark, d, "customer").select(F.col("c_name").alias("host"), F.concat(F.lit("n"), (F.col("c_custkey") % 3).cast("string")).alias("owner"))
+    return values(spark, rollup.rebalance(hosts, ["n0", "n1", "n2", "n3"]), "host string, owner string")
+
+
 def account_moves(spark, d):
     """Users that write from one host, then another: the host is the day's."""
     e = events(spark, d).filter("kind IN ('commit', 'account')").select("user_id", "event_id", F.concat(F.lit("host"), (F.col("user_id") % 3 + F.floor(F.col("s") / 864_000) % 2).cast("string")).alias("host"))
@@ -123,7 +129,7 @@ def top_hosts(spark, d):
     return rows.orderBy(F.col("events_per_sec").desc(), "host").limit(10).select("host", "events_per_sec")
 
 
-QUERIES = {f.__name__: f for f in (fleet_overview, history_merge, fleet_health, host_owner_rows, request_classes, reject_top, newest_wins, cursor_max_merge, host_upsert, cluster_ownership, host_assignment, account_moves, change_detect, coalesce_touches, change_feed, distinct_accounts, top_hosts)}
+QUERIES = {f.__name__: f for f in (fleet_overview, history_merge, fleet_health, host_owner_rows, request_classes, reject_top, newest_wins, cursor_max_merge, host_upsert, cluster_ownership, host_assignment, host_rebalance, account_moves, change_detect, coalesce_touches, change_feed, distinct_accounts, top_hosts)}
 
 _OPS_SQL = "[" + ", ".join(f"'{o}'" for o in OPS) + "]"
 SQL = {
@@ -151,7 +157,7 @@ SQL = {
     "change_detect": f"WITH {EV}, a AS (SELECT user_id, event_id, kind, k % 3 AS state, lag(kind || '/' || (k % 3)) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM ev) SELECT user_id, event_id, kind, state FROM a WHERE p IS DISTINCT FROM kind || '/' || state",
     "coalesce_touches": f"""WITH {EV}, l AS (SELECT s // 7200 AS flush, kind, user_id::VARCHAR AS id, max(event_id) AS version FROM ev GROUP BY 1, 2, 3), g AS (SELECT *, count(*) OVER (PARTITION BY flush, kind) AS n, max(version) OVER (PARTITION BY flush, kind) AS top FROM l)
       SELECT flush, kind, 'n0' AS node, id, version FROM g WHERE n <= 5 UNION ALL SELECT DISTINCT flush, kind, 'n0', '*', top FROM g WHERE n > 5""",
-    "change_feed": f"WITH {EV} SELECT event_id + 1 AS n, kind FROM ev WHERE event_id + 1 > 9900",
+    "change_feed": f"WITH {EV}, h AS (SELECT max(event_id) + 1 AS head FROM ev), a AS (SELECT x FROM (VALUES (9900), (5)) t(x), h WHERE x <= head AND x >= greatest(head - 4096, 0)) SELECT event_id + 1 AS n, kind FROM ev, a WHERE event_id + 1 > x",
     "distinct_accounts": f"WITH {EV} SELECT host, count(DISTINCT user_id) AS accounts, count(*) FILTER (kind = 'reject') AS failed, count(*) AS events FROM ev GROUP BY host",
     "top_hosts": f"WITH {HOSTS_SQL} SELECT host, events_per_sec FROM h ORDER BY events_per_sec DESC, host LIMIT 10",
 }

@@ -140,8 +140,8 @@ def fixed_window(spark, d):
 
 
 def account_gate(spark, d):
-    e = events(spark, d).filter("kind = 'account'").select("host", "event_id", "s", F.col("user_id").alias("did"))
-    return stateful.run(e, transitions.account_gate(100, 1, 86_400), ["host"], ["s", "event_id"], ["event_id"])
+    e = events(spark, d).filter("kind = 'account'").select("host", "event_id", "s", F.col("user_id").alias("did"), (F.col("k") % 2 == 0).alias("created"))
+    return stateful.run(e, transitions.account_gate(150, 0.05, 86_400), ["host"], ["s", "event_id"], ["event_id"])
 
 
 def ack_epochs(spark, d):
@@ -152,7 +152,7 @@ def ack_epochs(spark, d):
 
 
 def identity_patience(spark, d):
-    return stateful.run(events(spark, d).select("user_id", "event_id", "s", (F.col("k") % 3 == 0).alias("ok")), transitions.identity_patience(600_000, 400_000), ["user_id"], ["event_id"], ["event_id"])
+    return stateful.run(events(spark, d).select("user_id", "event_id", "s", (F.col("k") % 3 == 0).alias("ok")), transitions.identity_patience(300_000, 400_000), ["user_id"], ["event_id"], ["event_id"])
 
 
 def resync_queue(spark, d):
@@ -215,8 +215,9 @@ SQL |= {
       SELECT host, event_id, ok FROM b""",
     "identity_patience": f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, event_id, s, k % 3 = 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM ev),
       b AS (SELECT user_id, i, event_id, CASE WHEN NOT ok THEN s END AS since, NULL::BIGINT AS fin, CASE WHEN ok THEN 'ok' ELSE 'retry' END AS verdict FROM o WHERE i = 1
-        UNION ALL SELECT o.user_id, o.i, o.event_id, CASE v.v WHEN 'held' THEN b.since WHEN 'retry' THEN coalesce(b.since, o.s) END, CASE v.v WHEN 'held' THEN b.fin WHEN 'gave_up' THEN o.s END, CASE v.v WHEN 'held' THEN 'gave_up' ELSE v.v END
-          FROM b JOIN o ON o.user_id = b.user_id AND o.i = b.i + 1, LATERAL (SELECT CASE WHEN b.fin IS NOT NULL AND o.s - b.fin < 400000 THEN 'held' WHEN o.ok THEN 'ok' WHEN o.s - coalesce(b.since, o.s) >= 600000 THEN 'gave_up' ELSE 'retry' END AS v) v)
+        UNION ALL SELECT o.user_id, o.i, o.event_id, CASE WHEN NOT o.ok THEN w.s0 END, CASE WHEN o.ok THEN NULL WHEN w.f0 IS NOT NULL THEN w.f0 WHEN o.s - w.s0 >= 300000 THEN o.s END, CASE WHEN o.ok THEN 'ok' WHEN w.f0 IS NOT NULL OR o.s - w.s0 >= 300000 THEN 'gave_up' ELSE 'retry' END
+          FROM b JOIN o ON o.user_id = b.user_id AND o.i = b.i + 1, LATERAL (SELECT b.since IS NULL OR coalesce(o.s - b.fin >= 400000, false) OR (b.fin IS NULL AND o.s - b.since >= 400000) AS fresh) f,
+            LATERAL (SELECT CASE WHEN fresh THEN o.s ELSE b.since END AS s0, CASE WHEN NOT fresh THEN b.fin END AS f0) w)
       SELECT user_id, event_id, verdict FROM b""",
     "versioned_saves": """WITH RECURSIVE o AS (SELECT o_custkey % 100 AS doc, o_orderkey AS t, (o_orderkey // 200 % 100)::INTEGER AS base, o_orderstatus AS body, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS i FROM orders),
       b AS (SELECT doc, i, t, CASE WHEN base = 0 THEN 1 ELSE 0 END AS version, CASE WHEN base = 0 THEN body END AS body, CASE WHEN base = 0 THEN 'saved' ELSE 'conflict' END AS verdict FROM o WHERE i = 1
@@ -227,8 +228,8 @@ SQL |= {
         UNION ALL SELECT o.host, o.i, o.event_id, CASE WHEN len(t.l) < 8 AND NOT o.failed THEN list_append(t.l, o.s::BIGINT) ELSE t.l END, len(t.l) < 8 FROM b JOIN o ON o.host = b.host AND o.i = b.i + 1, LATERAL (SELECT list_filter(b.log, lambda x: o.s - x < 36000) AS l) t)
       SELECT host, event_id, ok, len(log)::INTEGER AS in_window FROM b""",
     "clock_pace": f"""WITH RECURSIVE {EV}, {_NUM.format(cols="s, s - 80000 + event_id * 3 AS e")},
-      b AS (SELECT host, i, event_id, s, greatest(least(greatest(e, s - 86400), s), s - 86400) AS clock, 1.0::DOUBLE AS pace FROM o WHERE i = 1
-        UNION ALL SELECT o.host, o.i, o.event_id, o.s, c.c, CASE WHEN o.s > b.s THEN b.pace + 0.1::DOUBLE * (least(1000.0::DOUBLE, greatest(1.0::DOUBLE, (c.c - b.clock)::DOUBLE / (o.s - b.s))) - b.pace) ELSE b.pace END
-          FROM b JOIN o ON o.host = b.host AND o.i = b.i + 1, LATERAL (SELECT greatest(least(greatest(o.e, o.s - 86400), o.s), b.clock) AS c) c)
+      b AS (SELECT host, i, event_id, least(greatest(e, s - 86400), s) AS clock, s AS m0, least(greatest(e, s - 86400), s) AS m1, 1.0::DOUBLE AS pace FROM o WHERE i = 1
+        UNION ALL SELECT o.host, o.i, o.event_id, c.c, CASE WHEN o.s > b.m0 THEN o.s ELSE b.m0 END, CASE WHEN o.s > b.m0 THEN c.c ELSE b.m1 END, CASE WHEN o.s > b.m0 THEN least(1000.0::DOUBLE, greatest(1.0::DOUBLE, 0.5::DOUBLE * b.pace + 0.5::DOUBLE * (c.c - b.m1)::DOUBLE / (o.s - b.m0))) ELSE b.pace END
+          FROM b JOIN o ON o.host = b.host AND o.i = b.i + 1, LATERAL (SELECT greatest(b.clock, least(greatest(o.e, o.s - 86400), o.s), o.s - 86400) AS c) c)
       SELECT host, event_id, clock, round(pace, 6) AS pace FROM b""",
 }

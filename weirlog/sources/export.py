@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weirlog.functions.hosts import url_host
 from weirlog.functions.ids import valid_did
 
+# Fixed value: the type that a service entry must have.
+PDS_TYPE = "AtprotoPersonalDataServer"
 SCHEMA = (
     "did string, cid string, createdAt string, nullified boolean, operation struct<type string, prev string, sig string, alsoKnownAs array<string>, verificationMethods map<string, string>, "
     "services map<string, struct<type string, endpoint string>>, signingKey string, service string, handle string>"
@@ -37,7 +39,8 @@ def parse(lines: DataFrame) -> DataFrame:
     """
     r = lines.select("*", F.from_json("line", SCHEMA).alias("r"))
     op = F.col("r.operation")
-    endpoint = F.coalesce(op["services"]["atproto_pds"]["endpoint"], op["service"])
+    listed = op["services"]["atproto_pds"]
+    endpoint = F.coalesce(F.when(listed["type"] == PDS_TYPE, listed["endpoint"]), F.when(op["type"] == "create", op["service"]))
     out = r.select(
         *lines.columns, F.col("r.did").alias("did"), millis(F.col("r.createdAt")).alias("created_ms"), F.coalesce("r.nullified", F.lit(False)).alias("nullified"), (op["type"] == "plc_tombstone").alias("tombstone"),
         F.coalesce(op["verificationMethods"]["atproto"], op["signingKey"]).alias("key"), url_host(F.when(endpoint.startswith("http"), endpoint)).alias("pds"),
@@ -58,20 +61,21 @@ def newest(rows: DataFrame) -> DataFrame:
     return usable.groupBy("did").agg(F.max(F.struct("created_ms", "tombstone", "key", "pds")).alias("r")).select("did", "r.*")
 
 
-def choose(records: DataFrame, seeds: DataFrame, now_ms: int, fresh_ms: int, ttl_ms: int) -> DataFrame:
-    """For each account whether to believe the stored record, the export's row, or to resolve anew.
+def choose(records: DataFrame, seeds: DataFrame, now_s: int, ttl_s: int) -> DataFrame:
+    """For each account whether the stored record, the export's row, or a new lookup answers.
 
-    records: did, pds, resolved_ms. seeds: did, pds, created_ms, tombstone.
+    records: did, key, pds, fetched_s (0: an identity event that hasn't been looked up since). seeds: did, key, pds,
+    created_ms, tombstone. A record looked up within the time to live wins unless the row's operation is newer. A row
+    of any age serves, unless it is older than the time to live and the account shows a change since.
     """
-    s = seeds.select("did", F.col("pds").alias("s_pds"), "created_ms", "tombstone")
-    both = records.join(s, "did", "full")
-    age = now_ms - F.col("resolved_ms")
-    what = (
-        F.when(F.col("resolved_ms").isNull(), F.when(F.col("tombstone"), "resolve").otherwise("seed"))
-        .when(F.col("created_ms").isNull(), F.when(age < ttl_ms, "record").otherwise("resolve"))
-        .when(F.col("resolved_ms") >= F.col("created_ms"), F.when(age < ttl_ms, "record").when(F.col("pds") == F.col("s_pds"), "seed").otherwise("resolve"))
-        .otherwise(F.when((age < fresh_ms) & (F.col("pds") != F.col("s_pds")), "resolve").when(F.col("tombstone"), "resolve").otherwise("seed"))
-    )
+    r = records.select("did", F.col("key").alias("r_key"), F.col("pds").alias("r_pds"), "fetched_s")
+    usable = seeds.filter(~F.col("tombstone") & F.col("key").isNotNull() & F.col("pds").isNotNull())
+    s = usable.select("did", F.col("key").alias("s_key"), F.col("pds").alias("s_pds"), F.floor(F.col("created_ms") / 1000).alias("seed_s"))
+    both = r.join(s, "did", "full").join(seeds.select("did").distinct().withColumn("listed", F.lit(True)), "did", "full")
+    fresh = F.coalesce(F.col("r_key").isNotNull() & F.col("r_pds").isNotNull() & (F.col("fetched_s") != 0) & (now_s - F.col("fetched_s") < ttl_s), F.lit(False))
+    moved = ~(F.col("r_key").eqNullSafe(F.col("s_key")) & F.col("r_pds").eqNullSafe(F.col("s_pds")))
+    unless = F.col("fetched_s").isNotNull() & (now_s - F.col("seed_s") >= ttl_s) & ((F.col("fetched_s") == 0) | ((F.col("fetched_s") > F.col("seed_s")) & moved))
+    what = F.when(F.col("seed_s").isNull(), F.when(fresh, "record").otherwise("resolve")).when(fresh, F.when(F.col("fetched_s") > F.col("seed_s"), "record").otherwise("seed")).when(unless, "resolve").otherwise("seed")
     return both.select("did", what.alias("use"))
 
 
