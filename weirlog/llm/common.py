@@ -4,29 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed: what separates words, as a regular expression for one word.
-WORD = r"[^\x20\x09-\x0D]+"
+from weirlog.shipping import ship
 
+__all__ = ["WORD", "documents", "id_bucket", "lean", "ship", "slices", "text_or_empty"]
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that don't have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_weirlog_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="weirlog-ship-")) / "weirlog.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(to))
-    sc._weirlog_shipped = True
+#: Fixed: what separates words, as a regular expression for one word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_or_empty(name: str = "text") -> Column:
