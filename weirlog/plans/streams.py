@@ -79,7 +79,7 @@ def log_segments(spark, d):
     n = e.count()
     refs = [segments.flush(e.filter(F.floor(F.col("seq") * 3 / n) == i), root, i) for i in range(3)]
     segments.commit(spark, root, refs[:2], 1)
-    return scratch.keep_for(segments.scan(spark, root, n // 4, n * 9 // 10).groupBy("kind").agg(F.count("*").alias("n"), F.max("seq").alias("last")))
+    return segments.scan(spark, root, n // 4, n * 9 // 10).groupBy("kind").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
 def id_functions(spark, d):
@@ -105,7 +105,7 @@ def stream_admit_bucket(spark, d):
     rows = raw.select(F.concat(F.lit("host"), (F.col("user_id") % 10).cast("string")).alias("host"), "event_id", F.floor(us / 1_000_000).alias("ms"), (F.get_json_object("props", "$.k").cast("int") % 3 + 1).alias("n"))
     out = machines.run(rows, transitions.admit_bucket(2.0), ["host"], ["ms", "event_id"], ["event_id"])
     flows.drain(out, flows.parquet_sink(f"{scratch.root}/out"), f"{scratch.root}/state")
-    return scratch.keep_for(spark.read.parquet(f"{scratch.root}/out").select("host", "event_id", "ok"))
+    return spark.read.parquet(f"{scratch.root}/out").select("host", "event_id", "ok")
 
 
 def stream_window_counts(spark, d):
@@ -115,7 +115,7 @@ def stream_window_counts(spark, d):
     counts = flows.window_counts(rows, "at", "1 day", ["event_type"])
     flows.drain(counts, flows.parquet_sink(f"{scratch.root}/out"), f"{scratch.root}/state")
     out = spark.read.parquet(f"{scratch.root}/out").groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("days"))
-    return scratch.keep_for(out)
+    return out
 
 
 def stream_newest(spark, d):
@@ -125,7 +125,7 @@ def stream_newest(spark, d):
     flows.drain(rows, flows.upsert_sink(f"{scratch.root}/out", ["user_id"], ["event_id"]), f"{scratch.root}/state")
     versions = spark.read.parquet(f"{scratch.root}/out")
     last = versions.agg(F.max("version")).first()[0]
-    return scratch.keep_for(versions.filter(F.col("version") == last).select("user_id", "event_id", "event_type"))
+    return versions.filter(F.col("version") == last).select("user_id", "event_id", "event_type")
 
 
 def synthetic_mix(spark, d):

@@ -7,9 +7,9 @@ is absent (tests, a laptop) a temporary folder is used.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Removes the tables of all queries so far. A lazy result of one of them can't be computed after that; it is called when Python ends."""
+    while _roots:
+        _delete(*_roots.pop())
+
+
+atexit.register(release)
+
+
 class Scratch:
-    """Tables of one query; each is removed by drop(), the rest when the query's result is garbage."""
+    """Tables of one query. Frames derived from them are lazy and may be used at any later time, so only what drop() names goes before release()."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/weirlog-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        _roots.append((spark, self.root))
 
     def write(self, df: DataFrame, *partition_by: str, wide: bool = False) -> DataFrame:
         """The table, read back. Unless it is `wide` (made in one pass over whole texts), it is written by at most twice as many tasks as the cluster has cores, to keep small files few."""
@@ -46,15 +59,13 @@ class Scratch:
         for t in tables:
             _delete(self.spark, t._scratch_path)
 
-    def keep_for(self, result: DataFrame) -> DataFrame:
-        """The result, whose end is also the end of these tables."""
-        weakref.finalize(result, _delete, self.spark, self.root)
-        return result
-
 
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
+    try:
+        if sc._jsc is None or sc._jsc.sc().isStopped():
+            return
+    except Exception:  # noqa: BLE001  the JVM has gone, with it the way to the folder
         return
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
