@@ -296,4 +296,4 @@ def score(docs: DataFrame) -> DataFrame:
     done = parts.drop("h", "code", "times").join(sums, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = done.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("k")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("model") + zero("m")).alias("score"))
-    return scratch.keep_for(out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -113,7 +113,7 @@ def mix(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(_measured(docs), wide=True)
     out = _decided(rows, plan(rows)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
-    return scratch.keep_for(out)
+    return out
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     sources = plan(scratch.write(_measured(docs), wide=True))
     packed = docs.select(F.col("source").cast("string").alias("source"), key().alias("key"), F.struct("*").alias("__row"))
     taken = _decided(packed, sources).withColumn("__n", F.explode(F.expr("array_repeat(0, cast(times as int))")))
-    return scratch.keep_for(taken.select("__row.*"))
+    return taken.select("__row.*")
 
 
 SQL = """

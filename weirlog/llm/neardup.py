@@ -294,7 +294,7 @@ def _linked(docs: DataFrame, member: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id of those linked with it, directly or by others), n_links (documents at the threshold or above)."""
     result, scratch = classes(docs)
-    return scratch.keep_for(result.select("doc_id", "class_id", "n_links"))
+    return result.select("doc_id", "class_id", "n_links")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     stay = result.filter("first_h is null or first_h = h").select(F.col("h").alias("__h"), F.col("first_h").isNotNull().alias("__once")).distinct()
     packed = docs.select(row_hash().alias("__h"), F.struct("*").alias("__row")).join(stay, "__h")
     once = packed.filter("__once").groupBy("__h").agg(F.first("__row").alias("__row")).select("__row.*")
-    return scratch.keep_for(once.unionByName(packed.filter("not __once").select("__row.*")))
+    return once.unionByName(packed.filter("not __once").select("__row.*"))
 
 
 SQL = """

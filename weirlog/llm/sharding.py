@@ -133,4 +133,4 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     filled = into.withColumn("slot", _pick(kept, F.col("shard")) + F.col("rank") - begun)
     both = stay.select(*columns, "shard", "slot").union(filled.select(*columns, "shard", "slot"))
     out = both.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "copies")
-    return scratch.keep_for(out)
+    return out

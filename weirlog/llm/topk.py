@@ -125,7 +125,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         found = _merged(lanes.drop("rank"), ["query_id"], k).select("query_id", "rank", "vec_id", "score")
         found = scratch.write(found) if blocks > 1 else found
         out = found if out is None else out.union(found)
-    return scratch.keep_for(out)
+    return out
 
 
 SQL = """

@@ -34,7 +34,7 @@ TOXIC, CLEAN, GRADES = 6_000, 18_000, 3
 #: Features kept: at most so many, in at least so many toxic texts, so many times likelier there (as a logarithm).
 FEATURES, SUPPORT, ODDS = 4096, 4, 3.0
 PREFIXES = (4, 5, 6)
-STEPS, RATE, DECAY, TOXIC_AT = 400, 0.1, 1e-5, 0.5
+STEPS, RATE, DECAY, TOXIC_AT = 400, 0.1, 1e-5, 0.7
 HOLD = 250_000
 _EDGE = b".,;:!?'\"()[]{}*%&$#|-"
 
