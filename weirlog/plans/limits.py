@@ -166,7 +166,7 @@ def versioned_saves(spark, d):
 
 
 def log_truncation(spark, d):
-    e = events(spark, d).select("host", "event_id", F.floor(F.col("event_id") / 2_500).alias("epoch"), (F.row_number().over(Window.partitionBy("host").orderBy("event_id")) - F.col("k") % 3).cast("long").alias("seq"), F.floor((F.col("event_id") - 10) / 2_500).alias("prev_epoch"), F.col("k").alias("content")).filter("seq between 1 and 400")
+    e = events(spark, d).select("host", "event_id", F.floor(F.col("event_id") / 2_500).alias("epoch"), (F.row_number().over(Window.partitionBy("host").orderBy("event_id")) - F.col("k") % 3).cast("long").alias("seq"), F.floor((F.col("event_id") - 10) / 2_500).alias("prev_epoch"), F.col("k").alias("content")).filter("seq >= 1")
     return stateful.run(e, transitions.log_truncation(), ["host"], ["event_id"], ["event_id"])
 
 

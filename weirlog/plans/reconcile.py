@@ -82,11 +82,10 @@ def relay_only(spark, d):
 
 
 def alias_pairs(spark, d):
-    """Sources of documents as hosts: whether every source k repeats source 0's texts in order."""
+    """Each source of documents as a host and its mirror, of which all but the first source's lack a text now and then."""
     docs = table(spark, d, "documents").select("source", F.sha2("text", 256).alias("did"), F.col("doc_id").alias("seq"))
-    base = docs.filter("source in ('src0', 'src1')")
-    a = base.select(F.col("source").alias("pair"), "seq", "did")
-    b = base.filter("seq % 400 <> 0 or source = 'src0'").withColumn("seq", F.col("seq")).select(F.col("source").alias("pair"), "seq", "did")
+    a = docs.select(F.col("source").alias("pair"), "seq", "did")
+    b = docs.filter("seq % 400 <> 0 or source = 'src0'").select(F.col("source").alias("pair"), "seq", "did")
     return reconcile.mirrored(a, b, 20)
 
 
@@ -245,7 +244,7 @@ SQL = {
       SELECT did, kind, count(have) AS matched, count(*) FILTER (have IS NULL) AS missing FROM a LEFT JOIN b USING (did, kind, occ) GROUP BY 1, 2""",
     "order_inversions": f"WITH {STREAMS}, p AS (SELECT did, r, lag(r) OVER (PARTITION BY did ORDER BY event_id) AS q FROM pairs WHERE r - l IS NOT NULL) SELECT did, count(*) FILTER (r < q) AS inversions FROM p GROUP BY did HAVING count(*) FILTER (r < q) > 0",
     "relay_only": f"WITH {STREAMS} SELECT did, kind, event_id FROM rel WHERE did IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0) AND (did, kind, event_id) NOT IN (SELECT did, kind, event_id FROM up)",
-    "alias_pairs": """WITH a AS (SELECT source AS pair, doc_id AS seq, sha256(text) AS did FROM documents WHERE source IN ('src0', 'src1')), b AS (SELECT * FROM a WHERE seq % 400 <> 0 OR pair = 'src0'), e AS (SELECT pair, max(seq) AS z FROM b GROUP BY pair),
+    "alias_pairs": """WITH a AS (SELECT source AS pair, doc_id AS seq, sha256(text) AS did FROM documents), b AS (SELECT * FROM a WHERE seq % 400 <> 0 OR pair = 'src0'), e AS (SELECT pair, max(seq) AS z FROM b GROUP BY pair),
       f AS (SELECT a.pair, a.seq, b.seq AS other FROM a LEFT JOIN b USING (pair, seq, did)), g AS (SELECT pair, count(other) AS matches, count(*) FILTER (other IS NULL AND z >= seq) AS differ FROM f JOIN e USING (pair) GROUP BY pair)
       SELECT *, CASE WHEN differ > 0 THEN 'differ' WHEN matches >= 20 THEN 'same' ELSE 'open' END AS verdict FROM g""",
     "state_replay": """WITH r AS (SELECT o_custkey AS key, arg_max(CASE WHEN o_orderkey % 50 <> 0 THEN o_orderstatus || (o_orderkey % 7) ELSE '' END, o_orderkey) AS v FROM orders WHERE o_orderkey <= 12000 GROUP BY 1),

@@ -55,13 +55,13 @@ def _cases(spark, d):
 
 def case_facets(spark, d):
     """Counts by status ignoring the status filter, by kind ignoring the kind filter."""
-    return views.facets(_cases(spark, d).filter("host = 7"), {"status": F.col("status") == "O", "kind": F.col("kind").isin("1-URGENT", "2-HIGH")})
+    return views.facets(_cases(spark, d), {"status": F.col("status") == "O", "kind": F.col("kind").isin("1-URGENT", "2-HIGH")})
 
 
 def case_list(spark, d):
     """Cases by severity, then newest."""
     rows = _cases(spark, d).withColumn("severity", 5 - F.substring("kind", 1, 1).cast("int"))
-    return rows.filter("status = 'O' AND host IN (3, 4)").orderBy(F.col("severity").desc(), F.col("id").desc()).offset(10).limit(25).select("id", "severity", "host")
+    return rows.filter("status = 'O'").orderBy(F.col("severity").desc(), F.col("id").desc()).offset(10).limit(25).select("id", "severity", "host")
 
 
 def case_sessions(spark, d):
@@ -106,8 +106,8 @@ def settings_redacted(spark, d):
 
 
 def document_diff(spark, d):
-    """Two versions of a document of every tenth customer, leaf by leaf."""
-    c = table(spark, d, "customer").filter("c_custkey % 10 = 0")
+    """Two versions of a document of every customer, leaf by leaf."""
+    c = table(spark, d, "customer")
     leaf = lambda path, v: F.struct(F.lit(path).alias("path"), v.cast("string").alias("value"))
     k = F.col("c_custkey")
     before = c.select("c_custkey", F.explode(F.array(leaf("limits.eps", k % 7), leaf("limits.cap", k % 5), leaf("tier", F.col("c_mktsegment")))).alias("x")).select("c_custkey", "x.path", "x.value").filter("path <> 'limits.cap' OR c_custkey % 20 = 0")
@@ -139,8 +139,8 @@ SQL = {
     "host_list_filtered": f"WITH {HOSTS_SQL} " + " UNION ALL ".join(f"SELECT '{k}' AS query, host FROM h WHERE {v}" for k, v in _FILTERS.items()),
     "host_list_page": f"WITH {HOSTS_SQL} " + " UNION ALL ".join(f"(SELECT '{k}' AS query, host, (SELECT count(*) FROM h WHERE {w}) AS total FROM h WHERE {w} ORDER BY {o} LIMIT {n} OFFSET {s})" for k, (w, o, s, n) in _PAGES.items()),
     "host_flags": f"WITH {HOSTS_SQL} SELECT host, {_CAP} AS \"atCap\", status <> 'offline' AND lag_ms > 60000 AS lagging, error_rate > 0.1 AS erroring, throttled_accounts > 0 OR {_CAP} AS \"throttledOrAtCap\" FROM h",
-    "case_facets": f"WITH {_CASES} SELECT 'status' AS facet, status AS value, count(*) AS n FROM c WHERE host = 7 AND kind IN ('1-URGENT', '2-HIGH') GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM c WHERE host = 7 AND status = 'O' GROUP BY 2",
-    "case_list": f"WITH {_CASES} SELECT id, (5 - substr(kind, 1, 1)::INTEGER)::INTEGER AS severity, host FROM c WHERE status = 'O' AND host IN (3, 4) ORDER BY severity DESC, id DESC LIMIT 25 OFFSET 10",
+    "case_facets": f"WITH {_CASES} SELECT 'status' AS facet, status AS value, count(*) AS n FROM c WHERE kind IN ('1-URGENT', '2-HIGH') GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM c WHERE status = 'O' GROUP BY 2",
+    "case_list": f"WITH {_CASES} SELECT id, (5 - substr(kind, 1, 1)::INTEGER)::INTEGER AS severity, host FROM c WHERE status = 'O' ORDER BY severity DESC, id DESC LIMIT 25 OFFSET 10",
     "case_sessions": f"""WITH {EV}, r AS (SELECT host, s AS t_, event_id AS id, k % 4 AS severity, floor(value)::BIGINT AS observed, 0 AS close FROM ev WHERE kind = 'reject' UNION ALL SELECT host, s, event_id, NULL, NULL, 1 FROM ev WHERE kind = 'identity' AND event_id % 50 = 0),
       t AS (SELECT *, coalesce(sum(close) OVER (PARTITION BY host ORDER BY t_, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM r)
       SELECT host, min(t_) FILTER (close = 0) AS opened, max(t_) FILTER (close = 0) AS updated, max(severity) AS severity, count(*) FILTER (close = 0) AS trips, arg_max(observed, id) FILTER (close = 0) AS observed,
@@ -151,7 +151,7 @@ SQL = {
     "last_evidence": f"WITH {EV} SELECT host, event_id, s FROM ev WHERE kind = 'reject' QUALIFY row_number() OVER (PARTITION BY host ORDER BY event_id DESC) <= 20",
     "handle_search": "SELECT 'exact' AS asked, lower(c_name) AS handle FROM customer WHERE lower(c_name) = 'customer#000000012' UNION ALL (SELECT 'star', lower(c_name) FROM customer WHERE starts_with(lower(c_name), 'customer#00000010') ORDER BY 2 LIMIT 30)",
     "settings_redacted": "SELECT lower(n_name) || (['_token', '_key', '_dir'])[n_nationkey % 3 + 1] AS name, CASE WHEN n_nationkey % 3 < 2 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'unset' ELSE 'set' END WHEN n_nationkey % 2 = 0 THEN '' ELSE n_name END AS value FROM nation",
-    "document_diff": """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS m FROM customer WHERE c_custkey % 10 = 0),
+    "document_diff": """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS m FROM customer),
       b AS (SELECT k, 'limits.eps' AS path, (k % 7)::VARCHAR AS v FROM c UNION ALL SELECT k, 'limits.cap', (k % 5)::VARCHAR FROM c WHERE k % 20 = 0 UNION ALL SELECT k, 'tier', m FROM c),
       a AS (SELECT k, 'limits.eps' AS path, (k % 14 % 7)::VARCHAR AS v FROM c UNION ALL SELECT k, 'limits.cap', (k % 5)::VARCHAR FROM c UNION ALL SELECT k, 'tier', m || CASE WHEN k % 30 = 0 THEN repeat('!', 90) ELSE '' END FROM c WHERE k % 50 <> 0),
       f AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.path, b.path) AS path, CASE WHEN length(a.v) > 80 THEN substr(a.v, 1, 80) || '…' ELSE a.v END AS av, CASE WHEN length(b.v) > 80 THEN substr(b.v, 1, 80) || '…' ELSE b.v END AS bv FROM b FULL JOIN a ON a.k = b.k AND a.path = b.path WHERE a.v IS DISTINCT FROM b.v)
