@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirlog.functions import ids
 from weirlog.operators import transitions
-from weirlog.plans.fixtures import EV, events
+from weirlog.plans.fixtures import EV, events, micros
 from weirlog.scratch import Scratch
 from weirlog.session import table
 from weirlog.sources import export, metrics, segments
@@ -101,7 +101,7 @@ def stream_admit_bucket(spark, d):
     """The refusing bucket over a stream: the same rows as in batch."""
     scratch = Scratch(spark)
     raw = _stream(spark, d, scratch)
-    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    us = micros("ts")
     rows = raw.select(F.concat(F.lit("host"), (F.col("user_id") % 10).cast("string")).alias("host"), "event_id", F.floor(us / 1_000_000).alias("ms"), (F.get_json_object("props", "$.k").cast("int") % 3 + 1).alias("n"))
     out = machines.run(rows, transitions.admit_bucket(2.0), ["host"], ["ms", "event_id"], ["event_id"])
     flows.drain(out, flows.parquet_sink(f"{scratch.root}/out"), f"{scratch.root}/state")
@@ -111,7 +111,7 @@ def stream_admit_bucket(spark, d):
 def stream_window_counts(spark, d):
     """Counts by day and kind of all days that the watermark has passed."""
     scratch = Scratch(spark)
-    rows = _stream(spark, d, scratch).withColumn("at", F.col("ts").cast("timestamp"))
+    rows = _stream(spark, d, scratch).withColumn("at", F.timestamp_micros(micros("ts")))
     counts = flows.window_counts(rows, "at", "1 day", ["event_type"])
     flows.drain(counts, flows.parquet_sink(f"{scratch.root}/out"), f"{scratch.root}/state")
     out = spark.read.parquet(f"{scratch.root}/out").groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("days"))
