@@ -52,6 +52,12 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def word_hashes(words) -> np.ndarray:
+    """`word_hash` of many words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
+    return np.where(h == 0, 1, h).astype(np.uint64).view(np.int64)
+
+
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAIL
 
@@ -75,7 +81,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def batch_of(counts: Counter):
         words = [*counts]
-        return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array([ending(w) for w in words], pa.int32()), pa.array([*counts.values()], pa.int64())], names=["h", "ending", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(word_hashes(words)), pa.array([ending(w) for w in words], pa.int32()), pa.array([*counts.values()], pa.int64())], names=["h", "ending", "n"])
 
     def go(batches):
         counts: Counter = Counter()
@@ -94,22 +100,24 @@ def count_pairs(texts: DataFrame, head: dict[int, int], unit: np.ndarray) -> Dat
     """a, b, n: how often unit b follows unit a; every text begins and ends at the end token. `unit` has the unit of each code."""
     size = int(unit.max()) + 1
 
-    def batch_of(pairs: list[np.ndarray]):
-        pair, n = np.unique(np.concatenate(pairs), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array((pair // size).astype(np.int32)), pa.array((pair % size).astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
-
     def go(batches):
+        # A task adds up all its pairs in one matrix, whose size depends on the number of units alone.
         codes, held, total = Codes(head), [], 0
+        matrix = np.zeros(size * size, np.int64)
         for batch in batches:
             for t in batch.column(0):
                 seq = unit[np.array([0, *map(codes.__getitem__, tokens(t.as_py())), 0], np.int64)]
                 held.append(seq[:-1] * size + seq[1:])
                 total += len(seq)
-                if total > 4_000_000:
-                    yield batch_of(held)
+                if total > 2_000_000:
+                    matrix += np.bincount(np.concatenate(held), minlength=len(matrix))
                     held, total = [], 0
         if held:
-            yield batch_of(held)
+            matrix += np.bincount(np.concatenate(held), minlength=len(matrix))
+        seen = np.flatnonzero(matrix)
+        for i in range(0, len(seen), 100_000):
+            pair = seen[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array((pair // size).astype(np.int32)), pa.array((pair % size).astype(np.int32)), pa.array(matrix[pair])], names=["a", "b", "n"])
 
     return texts.select("text").mapInArrow(lean(go), "a int, b int, n long")
 
@@ -252,20 +260,24 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
         emit = m.emission(m.counts, np.arange(head + 1))
         for batch in batches:
             for a, b in slices(pc.binary_length(batch.column(2)).to_pylist(), 1 << 22):
-                out, hashes, kinds_of, times, ends = [], [], [], [], [0]
+                out, rare_words, kinds_of, times, ends = [], [], [], [], [0]
                 for t in batch.column(2)[a:b]:
                     words = tokens(t.as_py())
                     seq = np.array([*map(codes.__getitem__, words), 0], np.int64)
                     cls = m.of[seq]
                     frequent = seq[seq <= head]
                     moved = m.arrive[np.concatenate(([m.of[0]], cls[:-1])), cls].sum()
-                    rare = Counter([words[i] for i in np.flatnonzero(seq > head)])
-                    hashes += map(word_hash, rare)
-                    kinds_of += [codes[w] for w in rare]
-                    times += rare.values()
-                    ends.append(len(hashes))
+                    at = np.flatnonzero(seq > head)
+                    rare = [words[i] for i in at]
+                    # Both dictionaries keep the order of first occurrence.
+                    counted, coded = Counter(rare), dict(zip(rare, seq[at].tolist(), strict=True))
+                    rare_words += counted
+                    times += counted.values()
+                    kinds_of += coded.values()
+                    ends.append(len(rare_words))
                     out.append((len(seq), int((m.counts[frequent] > 0).sum()), float(base[frequent].sum()), float(moved + emit[frequent].sum())))
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64() if k == 0 else pa.int32())) for k, x in enumerate((hashes, kinds_of, times))]
+                columns = (word_hashes(rare_words), np.array(kinds_of, np.int32), np.array(times, np.int32))
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in columns]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *(pa.array([r[k] for r in out], kinds[k]) for k in range(4)), *lists], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "h", "code", "times"])
 
