@@ -19,16 +19,16 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
     now = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(most):
-        # Large star: every larger neighbour is linked to the smallest neighbour.
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Large star: at each node every larger neighbour is linked to the node's smallest neighbour, or to the node if
+        # it has none smaller. The smallest ones are a table of their own, so that Spark can split the edges of a hub.
+        least = scratch.write(now.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b"))
+        large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = scratch.write(small.filter("a <> b").distinct())
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
+        scratch.drop(now, least)
         now = after
         if seen == before:
             break
