@@ -3,7 +3,8 @@
 Trusted positives are rows labelled 1 outside the held-out fold; the unlabelled rows are a thinned
 sample of all documents outside it. Rows labelled 0 are never used. The class prior is the least
 ratio of the unlabelled to the positive share above a score (where only positives are, the ratio is
-the prior). A linear model on text statistics then minimises the non-negative unbiased risk: where
+the prior); scores of rows that were learnt from make it too small, scores learnt from half of few
+rows too large, and the mean of both is taken. A linear model on text statistics then minimises the non-negative unbiased risk: where
 the estimate of the negative part falls below zero, the step ascends it instead.
 
 Inputs of a score are counted from the text alone: shares of pairs of character kinds, and shapes of
@@ -92,15 +93,15 @@ class Model:
         return sigmoid(z @ self.weights + self.bias)
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio of shares above a score. Only scores with enough positives above them are asked."""
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 1.0) -> float:
+    """The least ratio of shares above a score, with a margin of so many deviations. Only scores with enough positives above them are asked."""
     if not len(positive) or not len(unlabelled):
         return 0.5
     # Quantiles of the positives; the highest tails are left out, where the ratio is mostly noise.
     edges = np.quantile(positive, np.linspace(0.05, 0.8, 31))
     p = np.array([(positive >= e).mean() for e in edges])
     u = np.array([(unlabelled >= e).mean() for e in edges])
-    noise = 1.0 / np.sqrt(np.maximum(p * min(len(positive), len(unlabelled)), 1))
+    noise = margin / np.sqrt(np.maximum(p * min(len(positive), len(unlabelled)), 1))
     return float(np.clip((u / p + noise).min(), 0.05, 0.98))
 
 
@@ -126,6 +127,16 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> t
     return x[:size], float(x[size])
 
 
+def cross_fitted_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior as each half of the rows gives it under scores learnt from the other half; no row is scored by a model that has seen it."""
+    out = []
+    for side in (0, 1):
+        w, b = _fit(positive[side::2], unlabelled[side::2], None) if len(positive) > 1 and len(unlabelled) > 1 else _fit(positive, unlabelled, None)
+        p, u = (m[1 - side :: 2] if len(m) > 1 else m for m in (positive, unlabelled))
+        out.append(estimated_prior(p @ w + b, u @ w + b, 0.0))
+    return float(np.mean(out))
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     both = np.vstack((positive, unlabelled)) if len(positive) or len(unlabelled) else np.zeros((1, SIZE), np.float32)
     mean, spread = both.mean(0), both.std(0) + 1e-3
@@ -133,7 +144,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
         return Model(mean, spread, np.zeros(SIZE), 0.0, 0.5)
     p, u = (np.clip((m - mean) / spread, -6, 6).astype(np.float64) for m in (positive, unlabelled))
     w, b = _fit(p, u, None)
-    prior = estimated_prior(p @ w + b, u @ w + b)
+    prior = (estimated_prior(p @ w + b, u @ w + b) + cross_fitted_prior(p, u)) / 2
     w, b = _fit(p, u, prior)
     return Model(mean, spread, w, b, prior)
 
