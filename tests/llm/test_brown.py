@@ -93,3 +93,53 @@ def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     [r] = brown.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_every_word_is_clustered_by_its_contexts(spark, monkeypatch):
+    """Two kinds of words that take turns share one ending; outside the exchanged words they must be told apart too."""
+    monkeypatch.setattr(brown, "SINGLE", 40)
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    rng = np.random.default_rng(3)
+    kinds = [[f"{k}{i}xyz" for i in range(300)] for k in "ab"]
+    # The 20 words of either kind at the front are the exchanged ones.
+    weight = np.where(np.arange(300) < 20, 8.0, 1.0)
+    draws = [rng.choice(300, (400, 20), p=weight / weight.sum()) for _ in kinds]
+    texts = [" ".join(kinds[i % 2][draws[i % 2][d, i // 2]] for i in range(40)) for d in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = docs.select(docs.text.cast("binary").alias("text"))
+    model, _ = brown.train(frame, Scratch(spark))
+    model, words = brown.settle(frame, model, Scratch(spark))
+    of = {h: model.of[c] for h, c in model.head.items()} | {r["h"]: r["cls"] for r in words.collect()}
+    a, b = ({of[brown.word_hash(w.encode())] for w in kind} for kind in kinds)
+    assert len(of) == 600 and not a & b
+    counts = Counter(w for t in texts for w in t.split())
+    by_class = Counter({model.of[0]: 400 - model.discount})
+    for w, c in counts.items():
+        by_class[of[brown.word_hash(w.encode())]] += c - model.discount
+    assert all(abs(by_class[c] / model.size[c] + 10 ** model.unseen[c] - 1) < 1e-9 for c in by_class)
+
+
+@pytest.mark.parametrize("head", [50, 65536])
+def test_tail_words_cost_no_more_than_their_kind(spark, monkeypatch, head):
+    monkeypatch.setattr(brown, "HEAD", head)
+    monkeypatch.setattr(brown, "SINGLE", 20)
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'ab'[i % 2]}{int(30 * rng.random() ** 2)}xyz" for i in range(40)) for _ in range(600)]
+    rows = brown.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    # What a place's own kind leaves open; without the kinds it is twice that.
+    share = np.diff(np.sqrt(np.arange(31) / 30))
+    assert 10 ** (-sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows)) < 1.3 * np.exp(-(share * np.log(share)).sum())
+
+
+def test_best_class_gains_most_likelihood(monkeypatch):
+    monkeypatch.setattr(brown, "CLASSES", 5)
+    rng = np.random.default_rng(5)
+    pairs = rng.poisson(rng.random((30, 30)) ** 6 * 30).astype(float)
+    np.fill_diagonal(pairs, 0)
+    of = rng.integers(0, 5, 30)
+    n = np.array([[pairs[of == a][:, of == b].sum() for b in range(5)] for a in range(5)])
+    left, right = (np.stack([np.bincount(of, row, 5) for row in m]) for m in (pairs.T, pairs))
+    for w, c in enumerate(brown.best_classes(n, of, left, right)):
+        moved = lambda k: likelihood(pairs, np.where(np.arange(30) == w, k, of))
+        assert moved(c) >= max(map(moved, range(5))) - 1e-6

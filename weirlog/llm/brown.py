@@ -1,9 +1,13 @@
 """Class-based n-grams: exchange clustering, class transitions, word emissions, smoothed perplexity.
 
-Counts cover every training document. The `SINGLE` most frequent words are exchanged one by one;
-every other word belongs to a unit of words with one ending, and these are exchanged as a whole, so
-each word has a class. Spark counts which unit follows which; that matrix, of at most SINGLE + TAIL
-+ 1 units squared whatever the corpus, is what the driver's exchange works on.
+Counts cover every training document, and each training word has the class that its own contexts
+give it. The `SINGLE` most frequent words are exchanged one by one on the driver, against units of all
+other words by ending; Spark counts which unit follows which, a matrix of at most SINGLE + TAIL + 1
+units squared. Then Spark counts, for every other word, the classes to its left and right, and the word
+goes to the class that gains most likelihood from these counts. This is one round, in which all words
+look at the classes that their neighbours had before it. Class transitions are counted again after it.
+A word never seen in training has no contexts to learn from: its probability is summed over all classes
+that can follow, and the likeliest of them is its class for what comes next.
 
 A word's probability is that of its class after the previous class, times that of the word in the
 class. Both are smoothed by absolute discounting; what is taken from a class's words goes to words
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ HEAD, SINGLE, TAIL, CLASSES, SETTLED = 65536, 2000, 512, 64, 0.003
 CONTEXT_DISCOUNT = 0.5
 #: Entries after which a task's counts or remembered words are let go.
 HOLD = 250_000
+#: Stands for the class of a word never seen in training.
+NEVER = 255
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -194,6 +200,7 @@ class Model:
     discount: float
     total: int  # tokens
     distinct: int
+    pairs: np.ndarray  # how often a class (column) follows a class (row)
 
     @property
     def floor(self) -> float:
@@ -239,17 +246,152 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     tokens_in, types_in = (np.bincount(of, x, CLASSES) for x in (tokens_of, types))
     discount = sums["once"] / (sums["once"] + 2 * sums["twice"]) if sums["once"] else 0.5
     discount = min(discount, 0.95)
+    model = Model(head, tokens_of[: 1 + len(head)], of, _arrive(n, tokens_in), tokens_in, _unseen(discount, types_in, tokens_in), discount, total, distinct, n)
+    counts = words.select("h", "c")
+    counts._scratch_path = words._scratch_path
+    return model, counts
+
+
+def _arrive(n: np.ndarray, tokens_in: np.ndarray) -> np.ndarray:
     anywhere = (tokens_in + 0.5) / (tokens_in.sum() + 0.5 * CLASSES)
     out = n.sum(1, keepdims=True)
     kept = np.maximum(n - CONTEXT_DISCOUNT, 0) / np.maximum(out, 1)
-    arrive = np.where(out > 0, kept + (1 - kept.sum(1, keepdims=True)) * anywhere, anywhere)
-    unseen = np.where(tokens_in > 0, discount * types_in / np.maximum(tokens_in, 1), 1.0)
-    model = Model(head, tokens_of[: 1 + len(head)], of, np.log10(arrive), tokens_in, np.log10(np.maximum(unseen, 1e-12)), discount, total, distinct)
-    return model, words.select("h", "c")
+    return np.log10(np.where(out > 0, kept + (1 - kept.sum(1, keepdims=True)) * anywhere, anywhere))
+
+
+def _unseen(discount: float, types_in: np.ndarray, tokens_in: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(np.where(tokens_in > 0, discount * types_in / np.maximum(tokens_in, 1), 1.0), 1e-12))
+
+
+def contexts(texts: DataFrame, model: Model) -> DataFrame:
+    """h, ctx: how often a word that was not exchanged alone stood between two classes; partial sums. h is the word's code in the head or its hash; ctx packs the count, its class and those to its left and right."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    single = min(SINGLE, len(model.head))
+
+    def go(batches):
+        m = shared.value
+        codes, head = Codes(m.head), len(m.head)
+        held, total = [], 0
+
+        def batch_of():
+            h, ctx = (pa.array(np.concatenate(x)) for x in zip(*held, strict=True))
+            sums = pa.table({"h": h, "ctx": ctx, "n": pa.repeat(pa.scalar(1, pa.int64()), len(h))}).group_by(["h", "ctx"], use_threads=False).aggregate([("n", "sum")])
+            h, ctx, n = (sums.column(i).to_numpy() for i in range(3))
+            order = np.argsort(h, kind="stable")  # rows of a word side by side take less room
+            return pa.table({"h": h[order], "ctx": n[order] * CLASSES**3 + ctx[order]}).to_batches(max_chunksize=100_000)
+
+        for batch in batches:
+            for t in batch.column(0):
+                words = tokens(t.as_py())
+                seq = np.array([0, *map(codes.__getitem__, words), 0], np.int64)
+                cls = m.of[seq]
+                at = np.flatnonzero(seq > single)
+                if not len(at):
+                    continue
+                code = seq[at]
+                rare = code > head
+                h = code.copy()
+                h[rare] = word_hashes([words[i - 1] for i in at[rare]])
+                held.append((h, ((cls[at] * CLASSES + cls[at - 1]) * CLASSES + cls[at + 1]).astype(np.int32)))
+                total += len(at)
+                if total > HOLD * 4:
+                    yield from batch_of()
+                    held, total = [], 0
+        if held:
+            yield from batch_of()
+
+    return texts.select("text").mapInArrow(lean(go), "h long, ctx long")
+
+
+def best_classes(pairs: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The class of most likelihood for each word, taken out of the class `own`, by the counts of classes to its left and right (words x classes)."""
+    words, every = len(own), np.arange(len(own))
+    gain, stay = np.zeros((words, len(pairs))), np.zeros(words)
+    for counts, others, n in ((right, left, pairs), (left, right, pairs.T)):
+        w, k = np.nonzero(counts)
+        x = counts[w, k]
+        # The gain of a count x with class k, in all classes, is looked up for each k and x that occur.
+        kinds, which = np.unique(np.stack([k, x], 1), axis=0, return_inverse=True)
+        with_k = n[:, kinds[:, 0].astype(np.int64)].T
+        table = _f(with_k + kinds[:, 1:]) - _f(with_k)
+        starts = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[starts]] += np.add.reduceat(table[which.ravel()], starts)
+        there = n[own[w], k]
+        stay += np.bincount(w, _f(there) - _f(np.maximum(there - x, 0)), words)
+        # Pairs with the class that the word leaves don't hold the word any more.
+        w, b = np.nonzero((others > 0) & (counts[every, own] > 0)[:, None] & (np.arange(len(pairs)) != own[:, None]))
+        x, there = counts[w, own[w]], n[b, own[w]]
+        gone = np.maximum(there - others[w, b], 0)
+        gain[w, b] += _f(gone + x) - _f(gone) - _f(there + x) + _f(there)
+        whole, some = n.sum(1), counts.sum(1)
+        gain -= _f(whole + some[:, None]) - _f(whole)
+        stay -= _f(whole[own]) - _f(np.maximum(whole[own] - some, 0))
+    # Where a class stands on both sides, its pairs with itself were counted twice.
+    w, b = np.nonzero((left > 0) & (right > 0))
+    d, x, y = np.diag(pairs)[b], left[w, b], right[w, b]
+    gain[w, b] += _f(d + x + y) - _f(d + x) - _f(d + y) + _f(d)
+    less = lambda z: _f(np.maximum(d - z, 0))
+    stay += np.bincount(w, np.where(b == own[w], less(x) + less(y) - _f(d) - less(x + y), 0), words)
+    gain[every, own] = stay
+    best = gain.argmax(1)
+    return np.where(gain[every, best] <= stay + 1e-6, own, best)
+
+
+def assign(texts: DataFrame, model: Model) -> DataFrame:
+    """h, cls, c: class and count of every training word that was not exchanged alone, each from its own contexts; h as in `contexts`."""
+    pairs = model.pairs
+
+    def classed(h, ctx, n):
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        word = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(h)))
+        names, own, count = h[starts], ctx[starts] // CLASSES**2, np.add.reduceat(n, starts)
+        for i in range(0, len(starts), 8192):
+            m = min(8192, len(starts) - i)
+            rows = slice(starts[i], starts[i + m] if i + m < len(starts) else len(h))
+            at, c, x = (word[rows] - i) * CLASSES, ctx[rows].astype(np.int64), n[rows]
+            left, right = (np.bincount(at + k, x, m * CLASSES).reshape(m, CLASSES) for k in (c // CLASSES % CLASSES, c % CLASSES))
+            cls = best_classes(pairs, own[i : i + m], left, right)
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + m]), pa.array(cls.astype(np.int32)), pa.array(count[i : i + m])], names=["h", "cls", "c"])
+
+    def go(batches):
+        # Rows come in order of h; those of a batch's last word wait for the next batch.
+        wait = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            h, packed = (batch.column(i).to_numpy() for i in range(2))
+            new = h, packed % CLASSES**3, packed // CLASSES**3
+            h, ctx, n = new if wait is None else [np.concatenate(x) for x in zip(wait, new, strict=True)]
+            end = int(np.searchsorted(h, h[-1]))
+            if end:
+                yield from classed(h[:end], ctx[:end], n[:end])
+            kinds, which = np.unique(ctx[end:], return_inverse=True)
+            wait = [np.full(len(kinds), h[-1]), kinds, np.bincount(which, n[end:]).astype(np.int64)]
+        if wait is not None:
+            yield from classed(*wait)
+
+    return contexts(texts, model).repartition("h").sortWithinPartitions("h").mapInArrow(lean(go), "h long, cls int, c long")
+
+
+def settle(texts: DataFrame, model: Model, scratch: Scratch) -> tuple[Model, DataFrame]:
+    """The model with words in the classes that their contexts give them, and class and count of the words outside its head (h, cls, c). Transitions are still those of `model`."""
+    words = scratch.write(assign(texts, model))
+    single, head = min(SINGLE, len(model.head)), len(model.head)
+    of = model.of.copy()
+    # The words of the head, so at most HEAD; a code is told from a hash by its count.
+    for r in words.filter(F.col("c") * HEAD >= model.total).collect():
+        of[r["h"]] = r["cls"]
+    tokens_in = np.bincount(of[: single + 1], model.counts[: single + 1], CLASSES)
+    types_in = np.bincount(of[: single + 1], model.counts[: single + 1] > 0, CLASSES)
+    for r in words.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect():
+        tokens_in[r["cls"]] += r["c"]
+        types_in[r["cls"]] += r["types"]
+    settled = replace(model, of=of, size=tokens_in, unseen=_unseen(model.discount, types_in, tokens_in))
+    return settled, words.filter(F.col("c") * HEAD < model.total)
 
 
 def _parts(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each document: what frequent words and classes give, and its other words as arrays (hash, code, times)."""
+    """A row for each document: what frequent words give, the class of each token (a byte), and its other words: hash of each, places of all, and which word is in each place."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def go(batches):
@@ -260,28 +402,107 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
         emit = m.emission(m.counts, np.arange(head + 1))
         for batch in batches:
             for a, b in slices(pc.binary_length(batch.column(2)).to_pylist(), 1 << 22):
-                out, rare_words, kinds_of, times, ends = [], [], [], [], [0]
+                out, h, places, which, ends, upto = [], [], [], [], [0], [0]
                 for t in batch.column(2)[a:b]:
                     words = tokens(t.as_py())
                     seq = np.array([*map(codes.__getitem__, words), 0], np.int64)
-                    cls = m.of[seq]
                     frequent = seq[seq <= head]
-                    moved = m.arrive[np.concatenate(([m.of[0]], cls[:-1])), cls].sum()
                     at = np.flatnonzero(seq > head)
-                    rare = [words[i] for i in at]
-                    # Both dictionaries keep the order of first occurrence.
-                    counted, coded = Counter(rare), dict(zip(rare, seq[at].tolist(), strict=True))
-                    rare_words += counted
-                    times += counted.values()
-                    kinds_of += coded.values()
-                    ends.append(len(rare_words))
-                    out.append((len(seq), int((m.counts[frequent] > 0).sum()), float(base[frequent].sum()), float(moved + emit[frequent].sum())))
-                columns = (word_hashes(rare_words), np.array(kinds_of, np.int32), np.array(times, np.int32))
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in columns]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *(pa.array([r[k] for r in out], kinds[k]) for k in range(4)), *lists], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "h", "code", "times"])
-
-    return docs.mapInArrow(lean(go), "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, h array<long>, code array<int>, times array<int>")
+                    kinds: dict[bytes, int] = {}
+                    which.append(np.array([kinds.setdefault(words[i], len(kinds)) for i in at], np.int32))
+                    h += kinds
+                    places.append(at.astype(np.int32))
+                    ends.append(ends[-1] + len(kinds))
+                    upto.append(upto[-1] + len(at))
+                    out.append((len(seq), int((m.counts[frequent] > 0).sum()), float(base[frequent].sum()), float(emit[frequent].sum()), m.of[seq].astype(np.uint8).tobytes()))
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x)) for e, x in ((ends, word_hashes(h)), (upto, np.concatenate(places)), (upto, np.concatenate(which)))]
+                kinds_of = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *(pa.array([r[k] for r in out], kinds_of[k]) for k in range(5)), *lists], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "cls", "h", "places", "which"])
+
+    return docs.mapInArrow(lean(go), "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, cls binary, h array<long>, places array<int>, which array<int>")
+
+
+def _filled(parts: DataFrame, model: Model) -> DataFrame:
+    """The parts with their other words looked up: `found` packs number (26 bits), class (6) and count (32; a word outside the head has few) of those seen in training; places of the others hold NEVER."""
+    shared = parts.sparkSession.sparkContext.broadcast(replace(model, head={}, counts=model.counts[:1], of=model.of[:1]))
+
+    def go(batches):
+        m = shared.value
+        log_base, log_size = np.log10(m.floor), np.log10(np.maximum(m.size, 1))
+        for batch in batches:
+            col = {k: batch.column(k) for k in batch.schema.names}
+            out = []
+            for i in range(len(batch)):
+                known, base, model, raw = (col[k][i].as_py() for k in ("known", "base", "model", "cls"))
+                which = col["which"][i].values.to_numpy()
+                if len(which):
+                    cls, places = np.frombuffer(raw, np.uint8).copy(), col["places"][i].values.to_numpy()
+                    count, of = np.zeros(int(which.max()) + 1), np.full(int(which.max()) + 1, -1)
+                    if col["found"][i].is_valid:
+                        packed = col["found"][i].values.to_numpy()
+                        k = packed >> 38 & (1 << 26) - 1
+                        of[k], count[k] = packed >> 32 & 63, packed & (1 << 32) - 1
+                    c, here = count[which], of[which]
+                    cls[places] = np.where(here < 0, NEVER, here)
+                    known += int((c > 0).sum())
+                    base += float((np.log10(c + 1) - log_base).sum())
+                    model += float((np.log10(np.maximum(c - m.discount, 1e-9)) - log_size[here])[c > 0].sum())
+                    raw = cls.tobytes()
+                out.append((known, base, model, raw))
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([col["doc_id"], col["held_out"], col["n_tokens"], *(pa.array([r[k] for r in out], kinds[k]) for k in range(4))], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "cls"])
+
+    return parts.mapInArrow(lean(go), "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, cls binary")
+
+
+def _steps(raw: bytes, size: int) -> np.ndarray:
+    """Pairs of classes that follow one another, packed; a text follows the end token, its last byte."""
+    return _packed(np.frombuffer(raw, np.uint8).astype(np.int64), size)
+
+
+def _packed(cls: np.ndarray, size: int) -> np.ndarray:
+    return np.concatenate((cls[-1:], cls[:-1])) * size + cls
+
+
+def count_steps(filled: DataFrame) -> np.ndarray:
+    """How often a class (column) follows a class (row)."""
+
+    def go(batches):
+        n = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                n += np.bincount(_steps(t.as_py(), CLASSES), minlength=len(n))
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["step", "n"])
+
+    counted = filled.select("cls").mapInArrow(lean(go), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(CLASSES * CLASSES)
+    n[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return n.reshape(CLASSES, CLASSES)
+
+
+def _moved(filled: DataFrame, arrive: np.ndarray, unseen: np.ndarray) -> DataFrame:
+    """Adds to `model` the class transitions and what words never seen in training have."""
+    flat, new = arrive.ravel(), 10 ** (arrive + unseen)
+    into, likeliest = np.minimum(np.log10(new.sum(1)), 0), new.argmax(1)
+
+    def moved_of(raw: bytes) -> float:
+        cls = np.frombuffer(raw, np.uint8).astype(np.int64)
+        never = np.flatnonzero(cls == NEVER)
+        for i in never:
+            cls[i] = likeliest[cls[i - 1]]
+        steps = _packed(cls, len(into))
+        moved = flat[steps]
+        moved[never] = into[steps[never] // len(into)]
+        return moved.sum()
+
+    def go(batches):
+        for batch in batches:
+            moved = np.array([moved_of(t.as_py()) for t in batch.column("cls")], np.float64)
+            columns = [batch.column(k) for k in ("doc_id", "held_out", "n_tokens", "known", "base")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(moved + batch.column("model").to_numpy())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return filled.mapInArrow(lean(go), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -290,22 +511,15 @@ def score(docs: DataFrame) -> DataFrame:
     ship(spark)
     scratch = Scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket(FOLDS) == HELD).alias("held_out"), text_or_empty().cast("binary").alias("text"))
-    model, counts = train(rows.filter("not held_out"), scratch)
+    learnt = rows.filter("not held_out")
+    first, counts = train(learnt, scratch)
+    scratch.drop(counts)
+    model, words = settle(learnt, first, scratch)
     parts = scratch.write(_parts(rows, model).withColumn("row", F.monotonically_increasing_id()), wide=True)
-    rare = parts.select("row", F.explode(F.arrays_zip("h", "code", "times")).alias("w")).select("row", "w.h", "w.code", "w.times")
-    counted = rare.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    # The class's numbers, by code, as literal arrays over classes; the code's class likewise.
-    of = F.element_at(F.array(*(F.lit(int(c)) for c in model.of[1 + len(model.head) :])), F.col("code") - len(model.head)) + 1
-    at = lambda xs: F.element_at(F.array(*(F.lit(float(x)) for x in xs)), of)
-    known = F.log10((F.col("c") - model.discount) / at(np.maximum(model.size, 1)))
-    told = counted.select(
-        "row",
-        F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * (F.log10(F.col("c") + 1.0) - float(np.log10(model.floor)))).alias("base"),
-        (F.col("times") * F.when(F.col("c") > 0, known).otherwise(at(model.unseen))).alias("model"),
-    )
-    sums = told.groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("model").alias("m"))
-    done = parts.drop("h", "code", "times").join(sums, "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = done.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("k")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("model") + zero("m")).alias("score"))
+    rare = parts.select("row", F.posexplode("h").alias("k", "h"))
+    found = rare.join(words, "h").select("row", F.expr("shiftleft(cast(k AS long), 38) | shiftleft(cast(cls AS long), 32) | c").alias("packed"))
+    found = found.repartition("row").groupBy("row").agg(F.collect_list("packed").alias("found"))
+    filled = scratch.write(_filled(parts.drop("h").join(found, "row", "left"), model), wide=True)
+    arrive = _arrive(count_steps(filled.filter("not held_out")), model.size)
+    out = _moved(filled, arrive, model.unseen).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
