@@ -57,3 +57,11 @@ def test_admitted_flows_respect_quotas():
     rate = sharding.admitted(load, flow, quota)
     for t in range(6):
         assert load[t] + sum(rate[s, u] * n * ((u == t) - (s == t)) for (s, u), n in flow.items()) <= quota[t] + 1
+
+
+def test_groups_that_fit_keep_their_links(spark):
+    """At 1,000 rows on 40 shards 20 copies fit in one."""
+    rows = [(i, f"copy {i % 25}" if i < 500 else f"t{i}") for i in range(1000)]
+    out = check(spark, spark.createDataFrame(rows, "doc_id long, text string"), 40)
+    held = Counter((rows[r["doc_id"]][1], r["shard"]) for r in out if r["copies"] > 1)
+    assert sum(n * (n - 1) for n in held.values()) >= 0.5 * 25 * 20 * 19

@@ -3,8 +3,8 @@
 Documents with one text are linked. Every document starts in a random shard. In each round the
 fragments of a linked group ask to move to the shard that holds most of the group; the flows
 between shards, a matrix of shards x shards, are scaled until no shard would exceed its quota, and
-fragments are admitted by hash at the scaled rate. Groups larger than a share of a shard are split
-into units of bounded size that propagate on their own. Rounds work on counts by (unit, start
+fragments are admitted by hash at the scaled rate. Groups larger than a shard are split into units
+of a quarter of one, which propagate on their own. Rounds work on counts by (unit, start
 shard), never on documents. At the end each shard keeps linked documents up to its quota and the
 rest, with all unlinked documents, fills the free places, so that shard counts differ by at most
 one (law `rows`). Only DataFrame operations are used.
@@ -23,7 +23,7 @@ from weirlog.llm.common import text_or_empty
 from weirlog.scratch import Scratch
 
 SHARDS, OVERHEAD = 40, 16
-#: A unit holds about a quarter of a shard at most; groups above one in HOT of all rows are few enough to broadcast.
+#: A unit of a group larger than a shard holds about a quarter of one at most; groups above one in HOT of all rows are few enough to broadcast.
 UNITS_A_SHARD, HOT = 4, 1024
 ROUNDS, SETTLED = 8, 0.002
 BUCKETS = 1024
@@ -110,7 +110,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rare = seen.filter("many is null").drop("many").join(few, "gid", "left")
     counted = rare.unionByName(seen.filter("many is not null").withColumnRenamed("many", "copies"))
     most = max(2, total // (shards * UNITS_A_SHARD))
-    chunk = F.pmod(F.xxhash64("row", F.lit("unit")), F.ceil(F.col("copies") / most))
+    pieces = F.when(F.col("copies") > max(2, total // shards), F.ceil(F.col("copies") / most)).otherwise(1)
+    chunk = F.pmod(F.xxhash64("row", F.lit("unit")), pieces)
     start = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int")
     placed = scratch.write(counted.select("row", "doc_id", "size", "text_crc32", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.when(F.col("copies") > 1, F.xxhash64("gid", chunk)).alias("unit"), start.alias("start")))
     linked, alone = placed.filter("unit is not null"), placed.filter("unit is null")
