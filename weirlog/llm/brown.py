@@ -515,11 +515,11 @@ def score(docs: DataFrame) -> DataFrame:
     first, counts = train(learnt, scratch)
     scratch.drop(counts)
     model, words = settle(learnt, first, scratch)
-    parts = scratch.write(_parts(rows, model).withColumn("row", F.monotonically_increasing_id()), wide=True)
+    parts = scratch.write(_parts(rows, model).withColumn("row", F.monotonically_increasing_id()))
     rare = parts.select("row", F.posexplode("h").alias("k", "h"))
     found = rare.join(words, "h").select("row", F.expr("shiftleft(cast(k AS long), 38) | shiftleft(cast(cls AS long), 32) | c").alias("packed"))
     found = found.repartition("row").groupBy("row").agg(F.collect_list("packed").alias("found"))
-    filled = scratch.write(_filled(parts.drop("h").join(found, "row", "left"), model), wide=True)
+    filled = scratch.write(_filled(parts.drop("h").join(found, "row", "left"), model))
     arrive = _arrive(count_steps(filled.filter("not held_out")), model.size)
     out = _moved(filled, arrive, model.unseen).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -98,7 +98,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = text_or_empty()
     rows = scratch.write(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("gid")).withColumn("row", F.monotonically_increasing_id()),
-        wide=True,
+
     )
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]

@@ -111,7 +111,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    candidates = scratch.write(usable(vectors), wide=True)
+    candidates = scratch.write(usable(vectors))
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n = asked.count()
     # Blocks by hash: a block is a bounded share of the queries, and each block meets all candidates.
