@@ -48,5 +48,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for _, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), wide=True)
+        docs = scratch.write(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

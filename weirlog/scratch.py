@@ -1,8 +1,8 @@
 """Tables written to the shared checkpoint folder to cut lineage.
 
 Executors may be lost at any time, so an intermediate that is read more than once is written as
-Parquet to the folder that the cluster names in ``spark.checkpoint.dir``. Only where that setting
-is absent (tests, a laptop) a temporary folder is used.
+Parquet to the folder that the cluster names in ``spark.checkpoint.dir``. Where that setting is
+absent, a local session (tests, a laptop) takes a temporary folder and any other is refused.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='weirlog-')}"
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -36,18 +39,28 @@ def release() -> None:
 atexit.register(release)
 
 
+@contextmanager
+def lifetime():
+    """Tables made inside are removed at its end; results must have been written or collected by then."""
+    mark = len(_roots)
+    try:
+        yield
+    finally:
+        while len(_roots) > mark:
+            _delete(*_roots.pop())
+
+
 class Scratch:
-    """Tables of one query. Frames derived from them are lazy and may be used at any later time, so only what drop() names goes before release()."""
+    """Tables of one query. Frames derived from them are lazy and may be used at any later time, so only what drop() names goes before the end of a lifetime() or release()."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/weirlog-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         _roots.append((spark, self.root))
 
-    def write(self, df: DataFrame, *partition_by: str, wide: bool = False) -> DataFrame:
-        """The table, read back. Unless it is `wide` (made in one pass over whole texts), it is written by at most twice as many tasks as the cluster has cores, to keep small files few."""
+    def write(self, df: DataFrame, *partition_by: str) -> DataFrame:
+        """The table, read back. It has a file for each task of the stage that makes it; adaptive execution sizes those tasks by bytes."""
         path = f"{self.root}/{len(self.paths)}"
-        df = df if wide else df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
