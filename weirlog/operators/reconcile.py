@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,29 +43,19 @@ def inversions(pairs: DataFrame, account: str, source: str, relay: str) -> DataF
 def greedy(source: DataFrame, relay: DataFrame, key: list[str], at: str, ident: str) -> DataFrame:
     """For each source event in order, the first relay event of its key that is not earlier and not yet taken.
 
-    The rule is order-dependent, so each key's events go through one grouped pass over both sides in time order.
+    Source events wait in a queue, and a relay event takes the longest waiting one. It finds the queue empty whenever
+    relay events so far outnumber source events more than ever before; so running counts tell which relay events are
+    taken, and the n-th of these goes to the n-th source event. A key's rows are sorted in one task and streamed.
     """
     both = source.select(*key, at, ident, F.lit(0).alias("side")).unionByName(relay.select(*key, at, ident, F.lit(1).alias("side")))
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), f"source {kinds[ident]}", f"relay {kinds[ident]}", f"latency {kinds[at]}"])
-
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        s = group[group.side == 0].sort_values([at, ident])
-        r = group[group.side == 1].sort_values([at, ident])
-        times, ids, j, out = r[at].to_numpy(), r[ident].to_numpy(), 0, []
-        for t, i in zip(s[at].to_numpy(), s[ident].to_numpy(), strict=True):
-            while j < len(times) and times[j] < t:
-                j += 1
-            if j == len(times):
-                break
-            out.append((i, ids[j], times[j] - t))
-            j += 1
-        found = pd.DataFrame(out, columns=["source", "relay", "latency"])
-        for n, k in enumerate(key):
-            found.insert(n, k, group[k].iloc[0])
-        return found
-
-    return both.groupBy(*key).applyInPandas(pair, schema)
+    upto = Window.partitionBy(*key).orderBy(at, "side", ident).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("__s", F.sum(1 - F.col("side")).over(upto)).withColumn("__r", F.sum("side").over(upto))
+    idle = counted.withColumn("__idle", F.greatest(F.lit(0), F.max(F.col("__r") - F.col("__s")).over(upto)))
+    left = idle.filter("side = 0").select(*key, F.col("__s").alias("__n"), F.col(ident).alias("source"), F.col(at).alias("__at"))
+    # A relay event that finds none waiting raises the idle count; it shares its place with the taken one before it.
+    right = idle.filter("side = 1").groupBy(*key, (F.col("__r") - F.col("__idle")).alias("__n")).agg(F.min(F.struct(at, ident)).alias("__taken"))
+    found = left.join(right, [*key, "__n"])
+    return found.select(*key, "source", F.col(f"__taken.{ident}").alias("relay"), (F.col(f"__taken.{at}") - F.col("__at")).alias("latency"))
 
 
 def only_for_watched(relay: DataFrame, watched: DataFrame, matched_keys: DataFrame, account: str, key: list[str]) -> DataFrame:

@@ -88,7 +88,7 @@ def takedown_latest(spark, d):
     """The newest takedowns with their accounts' latest actions, newest first."""
     acts = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     latest = acts.groupBy("o_custkey").agg(F.max(F.struct("o_orderkey", "o_orderstatus")).alias("r"))
-    return latest.select(F.col("r.o_orderkey").alias("at"), "o_custkey", F.col("r.o_orderstatus").alias("action")).filter("action = 'F'").orderBy(F.col("at").desc(), "o_custkey").limit(100)
+    return latest.select(F.col("r.o_orderkey").alias("at"), "o_custkey", F.col("r.o_orderstatus").alias("action")).filter("action = 'F'").orderBy(F.col("at").desc(), "o_custkey")
 
 
 def seq_rewrite(spark, d):
@@ -132,7 +132,7 @@ SQL = {
       SELECT host, generation::BIGINT AS generation, count(*) AS n, sum(gap)::BIGINT AS skipped FROM e GROUP BY 1, 2""",
     "takedown_filter": f"""WITH {EV}, act AS (SELECT o_custkey % 150 AS did, arg_max(o_orderkey % 3 = 0, o_orderkey) AS active FROM orders WHERE o_custkey % 150 % 4 = 0 GROUP BY 1)
       SELECT kind, count(*) AS n, count(DISTINCT user_id) AS accounts FROM ev WHERE kind NOT IN ('commit', 'sync') OR user_id NOT IN (SELECT did FROM act WHERE active) GROUP BY kind""",
-    "takedown_latest": "SELECT max(o_orderkey) AS \"at\", o_custkey, arg_max(o_orderstatus, o_orderkey) AS action FROM orders GROUP BY o_custkey HAVING action = 'F' ORDER BY 1 DESC, o_custkey LIMIT 100",
+    "takedown_latest": "SELECT max(o_orderkey) AS \"at\", o_custkey, arg_max(o_orderstatus, o_orderkey) AS action FROM orders GROUP BY o_custkey HAVING action = 'F' ORDER BY 1 DESC, o_custkey",
     "seq_rewrite": f"WITH {EV} SELECT event_id, row_number() OVER (ORDER BY event_id) AS seq FROM ev WHERE kind <> 'reject'",
     "reject_top_reason": f"""WITH {REJECTS_SQL}, r AS (SELECT host, class FROM cls WHERE s >= (SELECT max(s) FROM ev) - 604800 AND event_id IN (SELECT event_id FROM cls QUALIFY row_number() OVER (PARTITION BY host ORDER BY event_id DESC) <= 50)),
       c AS (SELECT host, class, count(*) AS n FROM r GROUP BY 1, 2) SELECT host, class FROM c QUALIFY row_number() OVER (PARTITION BY host ORDER BY n DESC, class DESC) = 1""",

@@ -92,7 +92,8 @@ def alias_pairs(spark, d):
 def state_replay(spark, d):
     """Orders write to their customer's key; the state lost some keys, holds other values for some, and has some too many."""
     log = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("key"), F.when(F.col("o_orderkey") % 50 != 0, F.concat("o_orderstatus", (F.col("o_orderkey") % 7).cast("string"))).alias("value"))
-    replay = reconcile.replayed(log, 12_000)
+    # The state stands at four fifths of the log.
+    replay = reconcile.replayed(log, log.agg(F.max("seq")).first()[0] * 4 // 5)
     state = replay.filter("key % 31 <> 0").withColumn("value", F.when(F.col("key") % 37 == 0, F.lit("?")).otherwise(F.col("value"))).union(table(spark, d, "customer").filter("c_custkey % 200 = 3").select((F.col("c_custkey") + 1_000_000).alias("key"), F.col("c_custkey").alias("seq"), F.lit("old")))
     return reconcile.state_differences(state, replay, 600).groupBy("verdict").agg(F.count("*").alias("n"), F.min("key").alias("first"))
 
@@ -168,7 +169,9 @@ def lost_events(spark, d):
 def node_log_mismatch(spark, d):
     e = events(spark, d).select(F.col("event_id").alias("seq"), (F.col("event_id") * 31 % 1009).alias("content"))
     node = lambda n, cond, bad: e.filter(cond).select(F.lit(n).alias("node"), "seq", F.when(F.col("seq") % bad == 0, 7).otherwise(F.col("content")).alias("content"))
-    return audit.log_mismatches(node("n0", "seq < 8000", 1999).union(node("n1", "seq BETWEEN 500 AND 9000 AND seq % 333 <> 0", 2500)), _observed(spark, d).filter("stream = 'b'"), _gaps(spark))
+    # One node stopped early, the other joined late; between them they should hold the whole log.
+    last = e.agg(F.max("seq")).first()[0]
+    return audit.log_mismatches(node("n0", F.col("seq") < last * 4 // 5, 1999).union(node("n1", F.expr(f"seq >= {last // 20} AND seq % 333 <> 0"), 2500)), _observed(spark, d).filter("stream = 'b'"), _gaps(spark))
 
 
 def contiguous_prefix(spark, d):
@@ -247,7 +250,7 @@ SQL = {
     "alias_pairs": """WITH a AS (SELECT source AS pair, doc_id AS seq, sha256(text) AS did FROM documents), b AS (SELECT * FROM a WHERE seq % 400 <> 0 OR pair = 'src0'), e AS (SELECT pair, max(seq) AS z FROM b GROUP BY pair),
       f AS (SELECT a.pair, a.seq, b.seq AS other FROM a LEFT JOIN b USING (pair, seq, did)), g AS (SELECT pair, count(other) AS matches, count(*) FILTER (other IS NULL AND z >= seq) AS differ FROM f JOIN e USING (pair) GROUP BY pair)
       SELECT *, CASE WHEN differ > 0 THEN 'differ' WHEN matches >= 20 THEN 'same' ELSE 'open' END AS verdict FROM g""",
-    "state_replay": """WITH r AS (SELECT o_custkey AS key, arg_max(CASE WHEN o_orderkey % 50 <> 0 THEN o_orderstatus || (o_orderkey % 7) ELSE '' END, o_orderkey) AS v FROM orders WHERE o_orderkey <= 12000 GROUP BY 1),
+    "state_replay": """WITH r AS (SELECT o_custkey AS key, arg_max(CASE WHEN o_orderkey % 50 <> 0 THEN o_orderstatus || (o_orderkey % 7) ELSE '' END, o_orderkey) AS v FROM orders WHERE o_orderkey <= (SELECT max(o_orderkey) * 4 // 5 FROM orders) GROUP BY 1),
       q AS (SELECT key, CASE WHEN key % 31 = 0 THEN 'missing' WHEN key % 37 = 0 THEN 'different' ELSE 'equal' END AS verdict FROM r WHERE v <> '' UNION ALL SELECT c_custkey + 1000000, CASE WHEN c_custkey <= 600 THEN 'pruned' ELSE 'extra' END FROM customer WHERE c_custkey % 200 = 3)
       SELECT verdict, count(*) AS n, min(key) AS first FROM q GROUP BY verdict""",
     "api_diff": """SELECT c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'only_a' ELSE concat_ws(',', CASE WHEN c_custkey % 83 = 0 THEN 'c_mktsegment' END, CASE WHEN c_custkey % 89 = 0 THEN 'c_nationkey' END) END AS differs FROM customer WHERE c_custkey > 0 AND (c_custkey % 97 = 0 OR c_custkey % 83 = 0 OR c_custkey % 89 = 0)
@@ -261,7 +264,7 @@ SQL = {
         FROM ak LEFT JOIN e USING (seq) LEFT JOIN h USING (did) LEFT JOIN isl ON ak.seq > after AND ak.seq <= upto) SELECT fate, count(*) AS n, min(seq) AS first FROM f GROUP BY fate""",
     "duplicate_events": f"WITH {OBSERVED}, s AS (SELECT did, count(DISTINCT seq) AS n, min(seq) AS lo, max(seq) AS hi FROM obs GROUP BY did) SELECT did, n, EXISTS (SELECT 1 FROM gaps WHERE lo <= upto AND hi > upto) AS across FROM s WHERE n > 1",
     "lost_events": f"WITH {OBSERVED} SELECT event_id AS did FROM ev WHERE event_id NOT IN (SELECT did FROM obs WHERE NOT EXISTS (SELECT 1 FROM gaps WHERE seq > after AND seq <= upto))",
-    "node_log_mismatch": f"""WITH {OBSERVED}, lg AS (SELECT 'n0' AS node, event_id AS seq, CASE WHEN event_id % 1999 = 0 THEN 7 ELSE event_id * 31 % 1009 END AS content FROM ev WHERE event_id < 8000 UNION ALL SELECT 'n1', event_id, CASE WHEN event_id % 2500 = 0 THEN 7 ELSE event_id * 31 % 1009 END FROM ev WHERE event_id BETWEEN 500 AND 9000 AND event_id % 333 <> 0),
+    "node_log_mismatch": f"""WITH {OBSERVED}, lg AS (SELECT 'n0' AS node, event_id AS seq, CASE WHEN event_id % 1999 = 0 THEN 7 ELSE event_id * 31 % 1009 END AS content FROM ev WHERE event_id < (SELECT max(event_id) * 4 // 5 FROM ev) UNION ALL SELECT 'n1', event_id, CASE WHEN event_id % 2500 = 0 THEN 7 ELSE event_id * 31 % 1009 END FROM ev WHERE event_id >= (SELECT max(event_id) // 20 FROM ev) AND event_id % 333 <> 0),
       em AS (SELECT seq, min(content) AS c FROM obs WHERE stream = 'b' GROUP BY seq), rg AS (SELECT node, min(seq) AS lo, max(seq) AS hi FROM lg GROUP BY node)
       SELECT node, (SELECT count(*) FROM lg JOIN em USING (seq) WHERE lg.node = rg.node AND content <> c) AS other, (SELECT count(*) FROM em WHERE seq BETWEEN lo AND hi AND seq NOT IN (SELECT seq FROM lg l2 WHERE l2.node = rg.node)) AS lacking FROM rg""",
     "contiguous_prefix": f"WITH {EV}, n AS (SELECT host, user_id, row_number() OVER (PARTITION BY host ORDER BY event_id) AS n FROM ev), k AS (SELECT host, n, row_number() OVER (PARTITION BY host ORDER BY n) AS rn FROM n WHERE n <> 600 + user_id % 10 * 20) SELECT host, count(*) FILTER (n = rn) AS prefix FROM k GROUP BY host",

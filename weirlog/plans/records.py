@@ -152,7 +152,7 @@ def short_numbers(spark, d):
 def quorum_history(spark, d):
     """Changes of the term, newest first, equal times by node."""
     e = events(spark, d).filter("k = 1").select((F.floor(F.col("s") / 86_400)).alias("day"), (F.col("user_id") % 4).alias("node"), "event_id")
-    return e.orderBy(F.col("day").desc(), "node", "event_id").limit(40)
+    return e.orderBy(F.col("day").desc(), "node", "event_id")
 
 
 def rate_distribution(spark, d):
@@ -220,7 +220,7 @@ SQL = {
     "json_reports": f"WITH {EV} SELECT kind, '{{\"n\":' || count(*) || ',\"last\":' || max(event_id) || '}}' AS report FROM ev GROUP BY kind",
     "short_numbers": f"""WITH {EV}, n AS (SELECT event_id, event_id * event_id * 37 AS n, repeat(kind, 3) AS t FROM ev) SELECT event_id, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 1000000 THEN format('{{:.1f}}k', (n // 100) / 10.0::DOUBLE) WHEN n < 1000000000 THEN format('{{:.1f}}M', (n // 100000) / 10.0::DOUBLE) ELSE format('{{:.1f}}G', (n // 100000000) / 10.0::DOUBLE) END AS text,
       CASE WHEN length(t) > 9 THEN substr(t, 1, 9) || '…' ELSE t END AS short FROM n""",
-    "quorum_history": f"WITH {EV} SELECT s // 86400 AS day, user_id % 4 AS node, event_id FROM ev WHERE k = 1 ORDER BY 1 DESC, 2, 3 LIMIT 40",
+    "quorum_history": f"WITH {EV} SELECT s // 86400 AS day, user_id % 4 AS node, event_id FROM ev WHERE k = 1 ORDER BY 1 DESC, 2, 3",
     "rate_distribution": f"WITH {EV}, h AS (SELECT count(*) AS per_hour FROM ev GROUP BY host, s // 3600) SELECT per_hour, count(*) AS hours FROM h GROUP BY 1",
     "bulk_cases": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (1, 5, 9, 10000) OR o_orderstatus = 'P' ORDER BY 1 LIMIT 5000",
     "dids_valid": f"WITH {EV} SELECT event_id, event_id % 5 IN (0, 2) AS ok FROM ev",

@@ -37,14 +37,17 @@ def parse(lines: DataFrame) -> DataFrame:
     Current operations name key and service by map, the oldest ones by plain fields; a tombstone has neither. A bad
     line still has its time if that can be read, so a reader's position moves on past it.
     """
-    r = lines.select("*", F.from_json("line", SCHEMA).alias("r"))
+    # An exploded array of one keeps each line parsed once: a plain column would be copied into every field that reads it.
+    once = lambda x: F.explode(F.array(x))
+    r = lines.select("*", once(F.from_json("line", SCHEMA)).alias("r"))
     op = F.col("r.operation")
     listed = op["services"]["atproto_pds"]
     endpoint = F.coalesce(F.when(listed["type"] == PDS_TYPE, listed["endpoint"]), F.when(op["type"] == "create", op["service"]))
-    out = r.select(
-        *lines.columns, F.col("r.did").alias("did"), millis(F.col("r.createdAt")).alias("created_ms"), F.coalesce("r.nullified", F.lit(False)).alias("nullified"), (op["type"] == "plc_tombstone").alias("tombstone"),
+    told = F.struct(
+        F.col("r.did").alias("did"), millis(F.col("r.createdAt")).alias("created_ms"), F.coalesce("r.nullified", F.lit(False)).alias("nullified"), (op["type"] == "plc_tombstone").alias("tombstone"),
         F.coalesce(op["verificationMethods"]["atproto"], op["signingKey"]).alias("key"), url_host(F.when(endpoint.startswith("http"), endpoint)).alias("pds"),
     )
+    out = r.select(*lines.columns, once(told).alias("__told")).select(*lines.columns, "__told.*")
     problem = F.when(F.col("did").isNull() | F.col("created_ms").isNull(), "unreadable").when(~valid_did(F.col("did")), "bad_did").when(F.col("nullified"), "nullified")
     return out.withColumn("problem", problem)
 
