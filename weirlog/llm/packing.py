@@ -5,20 +5,26 @@ the reduction and best fit work on that bounded histogram, in ranges of like seq
 cost does not depend on the number of documents. Pieces of one length are interchangeable: each
 gets its rank among them, and the ranges say which sequence and place a rank has.
 
-Reduction: a piece and another that fills the sequence exactly dominate every set with the first,
-and so does a piece with the largest that fits if no two others fit beside it; such sets are fixed
-for good. Best fit in decreasing order packs what is left.
+Reduction: a piece and what fills its sequence exactly dominate every set with the piece, and so do the
+largest others beside it where at most two fit and every other choice could be exchanged for them. Such
+sets are fixed for good, from long pieces to short ones, again and again until none is left. Best fit in
+decreasing order packs the rest; where it stays above the least number that the tokens need, best fit by
+sets (the longest piece left and the pieces that fill its sequence most) is tried as well, and the packing
+with fewer sequences is taken.
 
 Defined results: a null or empty text is a document of the end id alone; documents longer than the
-capacity are cut so that the first piece is the short one; repeated rows are packed each; an empty
-table gives no rows; further columns are not read.
+capacity, however long, are cut so that the first piece is the short one; repeated rows are packed each;
+pieces of one length are interchangeable and ranked by hash; an empty table gives no rows; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import copy
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -89,8 +95,15 @@ class Packer:
         self.capacity, self.left, self.given = capacity, {k: n for k, n in counts.items() if n}, dict.fromkeys(counts, 0)
         self.segments: dict[int, list[Segment]] = {k: [] for k in counts}
         self.sequences = self.fixed = 0
-        self._reduce()
+        while self._reduce():
+            pass
+        bound = self.sequences + -(-sum(k * n for k, n in self.left.items()) // capacity)
+        by_sets = copy.deepcopy(self)
         self._best_fit()
+        if self.sequences > bound:
+            by_sets._fit_sets()
+            if by_sets.sequences < self.sequences:
+                self.segments, self.given, self.sequences = by_sets.segments, by_sets.given, by_sets.sequences
 
     def _put(self, length: int, count: int, base: int, each: int, offset: int) -> None:
         self.segments[length].append(Segment(self.given[length], count, base, each, offset))
@@ -99,37 +112,83 @@ class Packer:
         if not self.left[length]:
             del self.left[length]
 
-    def _fix(self, times: int, *lengths: int) -> None:
-        offset, base = 0, self.sequences
-        if len(lengths) == 2 and lengths[0] == lengths[1]:
-            self._put(lengths[0], 2 * times, base, 2, 0)
-        else:
-            for n in lengths:
-                self._put(n, times, base, 1, offset)
-                offset += n
+    def _fill(self, *lengths: int) -> int:
+        """As many sequences of these pieces as there are."""
+        each, offset, base = Counter(lengths), 0, self.sequences
+        times = min(self.left[k] // m for k, m in each.items())
+        for k, m in each.items():
+            self._put(k, m * times, base, m, offset)
+            offset += m * k
         self.sequences += times
-        self.fixed += times
+        return times
 
-    def _reduce(self) -> None:
+    def _reduce(self) -> bool:
+        """Fixes every set that dominates all others with its longest piece; whether there was any."""
+        before = self.fixed
         for length in sorted(self.left, reverse=True):
-            while (have := self.left.get(length, 0)) > 0:
-                room = self.capacity - length
-                others = sorted(k for k in self.left if k <= room and (k != length or have > 1))
-                if not others:
-                    self._fix(have, length)
-                elif others[-1] == room or self._least_two(length, others) > room:
-                    other = others[-1]
-                    times = have // 2 if other == length else min(have, self.left[other])
-                    self._fix(times, length, other)
-                else:
+            while length in self.left and (found := self._dominating(length)) is not None:
+                self.fixed += self._fill(length, *found)
+        return self.fixed > before
+
+    def _dominating(self, length: int) -> tuple[int, ...] | None:
+        """What to put beside a piece of `length` such that every other choice can be exchanged for it: each of the other's pieces, or several together, fit in place of one of these.
+
+        Wherever one is found it stays valid while its pieces last, since fewer pieces leave fewer other choices.
+        """
+        room = self.capacity - length
+        spare = lambda k: self.left[k] - (k == length)
+        others = [k for k in sorted(self.left) if k <= room and spare(k) > 0]
+        if not others:
+            return ()
+        a = others[-1]
+        if a == room:
+            return (a,)
+        least = [k for k in others[:3] for _ in range(min(3, spare(k)))][:3]
+        if len(least) < 2 or least[0] + least[1] > room:
+            return (a,)
+        if len(least) == 3 and sum(least) <= room:
+            return None  # three may fit: no dominance is known
+
+        def pairs(low: int):
+            """For each second piece above `low` the longest that fits with it and is no shorter."""
+            for y in others[bisect_right(others, low) :]:
+                i = bisect_right(others, room - y) - 1
+                if i >= 0 and others[i] == y and spare(y) < 2:
+                    i -= 1
+                if i >= 0 and others[i] >= y:
+                    yield others[i] + y
+
+        if max(pairs(0), default=0) <= a:
+            return (a,)
+        i = bisect_right(others, room - a) - 1
+        if i >= 0 and others[i] == a and spare(a) < 2:
+            i -= 1
+        if i >= 0 and max(pairs(others[i]), default=0) <= a:
+            return (a, others[i])
+        return None
+
+    def _fit_sets(self) -> None:
+        """Best fit by sets: each sequence takes the longest piece left and the pieces that fill it up most, long ones first."""
+        while self.left:
+            first = max(self.left)
+            room = self.capacity - first
+            # Sums that can be reached with pieces down to each length, as bits.
+            steps, reach, mask = [], 1, (1 << room + 1) - 1
+            for k in sorted((k for k in self.left if k <= room), reverse=True):
+                steps.append((k, reach))
+                many, part = min(self.left[k] - (k == first), room // k), 1
+                while many > 0:
+                    part = min(part, many)
+                    reach |= reach << part * k & mask
+                    many, part = many - part, part * 2
+                if reach >> room & 1:
                     break
-
-    def _least_two(self, length: int, others: list[int]) -> int:
-        """Size of the two smallest pieces that could stand beside one of `length`."""
-        first = others[0]
-        if self.left[first] - (first == length) > 1:
-            return 2 * first
-        return first + others[1] if len(others) > 1 else self.capacity + 1
+            rest, taken = reach.bit_length() - 1, [first]
+            for k, before in reversed(steps):
+                while not before >> rest & 1:
+                    taken.append(k)
+                    rest -= k
+            self._fill(*taken)
 
     def _best_fit(self) -> None:
         room: dict[int, list[tuple[int, int]]] = {}  # by free ids: (first sequence, number of sequences)
