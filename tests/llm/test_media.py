@@ -157,3 +157,89 @@ def test_digests(spark):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
     assert len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in got}) == len({r["payload_sha256"] for r in got})
     assert media.digests(media.store(empty(spark))).count() == 0
+
+
+def _chunk(name, body):
+    return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+
+
+def _frames(n):
+    """Frames of a stored file, and its header list."""
+    data = media.encode([bytes(range(256)) * 4 * n])[0]
+    avi = media.parse_avi(data)
+    at = data.index(b"hdrl") - 8
+    return [data[o : o + k] for o, k in avi.frames], data[at : at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")]
+
+
+def _file(head, movies, after=b""):
+    """A RIFF part for each movie list; `after` follows the first list."""
+    parts = []
+    for i, body in enumerate(movies):
+        whole = (b"AVIX" if i else b"AVI " + head) + _chunk(b"LIST", b"movi" + body) + (b"" if i else after)
+        parts.append(b"RIFF" + struct.pack("<I", len(whole)) + whole)
+    return b"".join(parts)
+
+
+def _old_index(frames):
+    out, at = [], 4
+    for f in frames:
+        out.append(struct.pack("<4sIII", b"00dc", 16, at, len(f)))
+        at += len(_chunk(b"00dc", f))
+    return _chunk(b"idx1", b"".join(out))
+
+
+def test_two_parts():
+    """The old index knows the first part alone."""
+    frames, head = _frames(6)
+    assert len(frames) == 6
+    body = lambda fs: b"".join(_chunk(b"00dc", f) for f in fs)
+    for after in (_old_index(frames[:3]), b""):
+        data = _file(head, [body(frames[:3]), body(frames[3:])], after)
+        avi = media.parse_avi(data)
+        assert [data[o : o + n] for o, n in avi.frames] == frames and avi.problem is None
+
+
+def test_record_lists_and_empty_frames():
+    frames, head = _frames(4)
+    lists = b"".join(_chunk(b"LIST", b"rec " + _chunk(b"01wb", b"sound") + _chunk(b"00dc", f)) for f in frames[:3])
+    data = _file(head, [lists + _chunk(b"00dc", b"")])
+    avi = media.parse_avi(data)
+    assert [data[o : o + n] for o, n in avi.frames] == [*frames[:3], frames[2]] and avi.problem is None
+    assert "4 frames, 3 were found" in media.parse_avi(_file(head, [lists])).problem
+
+
+def test_index_of_indexes():
+    """Each part has an index of its own; the stream's header lists them."""
+    frames, _ = _frames(6)
+    strh = b"vidsMJPG" + bytes(48)
+    avih, dmlh = _chunk(b"avih", struct.pack("<14I", 40000, 0, 0, 0, 3, 0, 1, 0, 512, 128, 0, 0, 0, 0)), _chunk(b"dmlh", struct.pack("<I", 6))
+
+    def build(places):
+        indx = struct.pack("<HBBI4s12x", 4, 0, 0, 2, b"00dc") + b"".join(struct.pack("<QII", at, size, 3) for at, size in places)
+        strl = b"strl" + _chunk(b"strh", strh) + _chunk(b"strf", bytes(40)) + _chunk(b"indx", indx)
+        head = _chunk(b"LIST", b"hdrl" + avih + _chunk(b"LIST", strl) + _chunk(b"LIST", b"odml" + dmlh))
+        movies, found, at = [], [], 0
+        for i, part in enumerate((frames[:3], frames[3:])):
+            base = at + 12 + (0 if i else len(head)) + 12
+            offsets, body = [], b""
+            for f in part:
+                offsets.append((len(body) + 8, len(f)))
+                body += _chunk(b"00dc", f)
+            ix = _chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, 3, b"00dc", base, 0) + b"".join(struct.pack("<II", o, n) for o, n in offsets))
+            found.append((base + len(body), len(ix)))
+            movies.append(body + ix)
+            at = len(_file(head, movies))
+        return _file(head, movies), found
+
+    _, places = build([(0, 0)] * 2)
+    data, _ = build(places)
+    avi = media.parse_avi(data)
+    assert [data[o : o + n] for o, n in avi.frames] == frames and avi.problem is None
+    assert media.payload(avi, media.dc_images(frames))[: 256 * 4] == bytes(range(256)) * 4
+
+
+def test_header_that_counts_other_frames(spark):
+    frames, head = _frames(3)
+    data = _file(head, [_chunk(b"00dc", frames[0])])
+    [row] = media.clips(spark.createDataFrame([(1, data)], "doc_id long, media binary")).collect()
+    assert (row["start_frame"], row["end_frame"]) == (0, 1) and "3 frames, 1 were found" in row["problem"]

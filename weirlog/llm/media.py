@@ -9,8 +9,10 @@ of the luminance), the usual compressed-domain picture for it.
 coefficient is its DC term; with a quantiser of 8 this is exact in every baseline decoder.
 
 Defined results: null media has no clips; media that cannot be parsed or decoded gives one row whose
-`problem` says why; an AVI without frames has no clips; a null text counts as empty when stored;
-repeated rows are repeated; further columns are not read.
+`problem` says why; where the header counts other frames than were found, every clip's `problem` says so;
+an AVI without frames has no clips; a frame whose difference ties with its neighbour's begins a shot as
+well; a null text counts as empty when stored, and a text of any length is stored whole; repeated rows are
+repeated; an empty table gives no rows; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,8 @@ class Avi:
     fps: float = float(FPS)
     comment: bytes = b""
     frames: list[tuple[int, int]] = field(default_factory=list)
+    total: int = 0
+    problem: str | None = None
 
 
 def _chunks(data: bytes, at: int, end: int):
@@ -83,35 +87,96 @@ def _chunks(data: bytes, at: int, end: int):
         at += 8 + n + (n & 1)
 
 
+def _walk(data: bytes, at: int, end: int):
+    """Chunks of a movie list, those in record lists as well: name, offset, size."""
+    for name, a, n in _chunks(data, at, end):
+        if name == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from _walk(data, a + 4, a + n)
+        else:
+            yield name, a, n
+
+
+def _indexed(data: bytes, at: int, n: int) -> list[tuple[int, int]]:
+    """Frames of an index chunk: one of frames, or one of such indexes."""
+    width, kind, entries = struct.unpack_from("<HxBI", data, at)
+    if kind == 0:  # of indexes: 64-bit offset of each chunk, its size with the name, and its duration
+        if width != 4 or 24 + 16 * entries > n:
+            raise BadMedia("an index of indexes can't be read")
+        out: list[tuple[int, int]] = []
+        for i in range(entries):
+            where, size, _ = struct.unpack_from("<QII", data, at + 24 + 16 * i)
+            if where + 8 + 24 > len(data):
+                raise BadMedia("the index points past the file")
+            out += _indexed(data, where + 8, size - 8)
+        return out
+    if kind != 1 or width != 2 or 24 + 8 * entries > n or at + 24 + 8 * entries > len(data):
+        raise BadMedia("an index can't be read")
+    [base] = struct.unpack_from("<Q", data, at + 12)
+    found = np.frombuffer(data, "<u4", 2 * entries, at + 24).reshape(-1, 2).astype(np.int64)
+    # The highest bit of a size marks a frame that isn't a key frame.
+    return [(base + int(o), int(m) & 0x7FFFFFFF) for o, m in found]
+
+
 def parse_avi(data: bytes) -> Avi:
-    """Header fields and frames; frames come from the index, or from the movie list where there is none."""
+    """Header fields and frames of all RIFF parts.
+
+    Frames come from the stream's own index if it has one, else the first part's from the old index; the movie lists
+    themselves are walked where there is none or where it doesn't point at frames. An empty frame repeats the one before.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise BadMedia("not an AVI file")
-    out, movi, index = Avi(), None, None
-    for name, at, n in _chunks(data, 12, min(len(data), 8 + int.from_bytes(data[4:8], "little"))):
-        kind = data[at : at + 4] if name == b"LIST" else b""
-        if kind == b"hdrl":
-            for sub, a, m in _chunks(data, at + 4, at + n):
-                if sub == b"avih" and m >= 40:
-                    micros, out.width, out.height = struct.unpack_from("<I", data, a)[0], *struct.unpack_from("<II", data, a + 32)
-                    out.fps = 1e6 / micros if micros else float(FPS)
-        elif kind == b"INFO":
-            out.comment = next((data[a : a + m] for sub, a, m in _chunks(data, at + 4, at + n) if sub == b"ICMT"), b"").rstrip(b"\0")
-        elif kind == b"movi":
-            movi = (at, n)
-        elif name == b"idx1":
-            index = np.frombuffer(data, "<u4", n // 16 * 4, at).reshape(-1, 4)
-    if movi is None:
+    out, movies, old, own, counted, streams, start, files = Avi(), [], None, None, 0, 0, 0, 0
+    video = None
+    while data[start : start + 4] == b"RIFF" and data[start + 8 : start + 12] in (b"AVI ", b"AVIX"):
+        end = start + 8 + int.from_bytes(data[start + 4 : start + 8], "little")
+        for name, at, n in _chunks(data, start + 12, min(len(data), end)):
+            kind = data[at : at + 4] if name == b"LIST" else b""
+            if kind == b"hdrl":
+                for sub, a, m in _chunks(data, at + 4, at + n):
+                    inner = data[a : a + 4] if sub == b"LIST" else b""
+                    if sub == b"avih" and m >= 40:
+                        micros, out.width, out.height = struct.unpack_from("<I", data, a)[0], *struct.unpack_from("<II", data, a + 32)
+                        out.fps, counted = 1e6 / micros if micros else float(FPS), struct.unpack_from("<I", data, a + 16)[0]
+                    elif inner == b"strl":
+                        parts = {x: (b, k) for x, b, k in _chunks(data, a + 4, a + m)}
+                        if video is None and data[parts.get(b"strh", (0, 0))[0] :][:4] == b"vids":
+                            video, own = streams, parts.get(b"indx")
+                        streams += 1
+                    elif inner == b"odml":
+                        # The main header counts the first part alone; this one counts all.
+                        counted_all = [struct.unpack_from("<I", data, b)[0] for x, b, k in _chunks(data, a + 4, a + m) if x == b"dmlh" and k >= 4]
+                        out.total = counted_all[0] if counted_all else out.total
+            elif kind == b"INFO" and not out.comment:
+                out.comment = next((data[a : a + m] for sub, a, m in _chunks(data, at + 4, at + n) if sub == b"ICMT"), b"").rstrip(b"\0")
+            elif kind == b"movi":
+                movies.append((files, at, n))
+            elif name == b"idx1" and files == 0:
+                old = np.frombuffer(data, "<u4", n // 16 * 4, at).reshape(-1, 4)
+        files, start = files + 1, end + (end & 1)
+    if not movies:
         raise BadMedia("no movie list")
-    if index is None:
-        out.frames = [(a, m) for name, a, m in _chunks(data, movi[0] + 4, movi[0] + movi[1]) if name[2:] in (b"dc", b"db")]
-    else:
-        video = index[(index[:, 0] >> 16 == 0x6364) | (index[:, 0] >> 16 == 0x6264)].astype(np.int64)
+    names = [b"%02d" % (video or 0) + x for x in (b"dc", b"db")]
+    walked = lambda later: [(a, m) for file, at, n in movies if file >= later for name, a, m in _walk(data, at + 4, at + n) if name in names]
+    is_frame = lambda o: data[o - 8 : o - 4] in names
+    if own:
+        out.frames = _indexed(data, *own)
+    elif old is not None:
+        mine = old[np.isin(old[:, 0], [int.from_bytes(x, "little") for x in names])].astype(np.int64)
         # Offsets count from the movie list's name, or from the file's start.
-        base = movi[0] if not len(video) or video[0, 2] < movi[0] else 0
-        out.frames = [(int(o) + base + 8, int(s)) for _, _, o, s in video]
-        if any(o + s > len(data) for o, s in out.frames):
-            raise BadMedia("the index points past the file")
+        base = movies[0][1] if not len(mine) or mine[0, 2] < movies[0][1] else 0
+        out.frames = [(int(o) + base + 8, int(s)) for _, _, o, s in mine] + (walked(1) if files > 1 else [])
+        if any(not is_frame(o) for o, _ in out.frames):
+            out.frames = walked(0)
+    else:
+        out.frames = walked(0)
+    if any(o + s > len(data) for o, s in out.frames):
+        raise BadMedia("the index points past the file")
+    for i, (_, s) in enumerate(out.frames):
+        if not s and i:
+            out.frames[i] = out.frames[i - 1]
+    want = out.total or (counted if files == 1 else 0)
+    if want and want != len(out.frames):
+        out.problem = f"the header counts {want} frames, {len(out.frames)} were found"
     return out
 
 
@@ -178,7 +243,7 @@ def scan_start(frame: bytes) -> int:
     raise BadMedia("a frame has no scan")
 
 
-@cache
+@lru_cache(256)
 def layout(header: bytes) -> Layout:
     """Parsed from everything up to the scan. Tables that are absent are the standard's."""
     quant: dict[int, tuple[int, ...]] = {}
@@ -214,7 +279,7 @@ def layout(header: bytes) -> Layout:
     return Layout(shape[1], shape[0], tuple(parts[c][:2] for c, _, _ in scan), tuple(quant[parts[c][2]] for c, _, _ in scan), tuple(huff[0, d] for _, d, _ in scan), tuple(huff[1, a] for _, _, a in scan), interval)
 
 
-@cache
+@lru_cache(16)
 def lookup(table: tuple[bytes, bytes]) -> np.ndarray:
     """By the next 16 bits: code length << 8 | symbol; 0 where there is no code."""
     bits, symbols = table
@@ -234,7 +299,7 @@ def _value(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(size == 0, 0, np.where(bits >= half, bits, bits - 2 * half + 1))
 
 
-@cache
+@lru_cache(16)
 def plain_blocks(dc: tuple[bytes, bytes], ac: tuple[bytes, bytes]) -> np.ndarray:
     """By the next 16 bits, where they hold a whole block of a DC term alone: (value + 4096) << 8 | bits used; else 0."""
     word = np.arange(1 << 16, dtype=np.int64)
@@ -495,6 +560,13 @@ def cuts(d: np.ndarray) -> list[int]:
     return found
 
 
+def shots(avi: Avi, images: list[np.ndarray]) -> list[tuple[int, int, float, float, float]]:
+    """Of each shot the first frame, the one after its last, both as seconds, and the difference at its start."""
+    d = differences(images)
+    edges = [0, *cuts(d), len(images)]
+    return [(s, e, s / avi.fps, e / avi.fps, float(d[s])) for s, e in zip(edges, edges[1:], strict=False) if e > s]
+
+
 def _read(files: list[bytes | None]) -> list[tuple[Avi | None, list[np.ndarray], str | None]]:
     """Of each file its header, DC images, and what is wrong with it."""
     parsed: list = []
@@ -532,9 +604,10 @@ def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
                     if bad:
                         out.append((keys[i], None, None, None, None, None, None, bad))
                         continue
-                    d = differences(images)
-                    edges = [0, *cuts(d), len(images)]
-                    out += [(keys[i], k, s, e, s / avi.fps, e / avi.fps, float(d[s]), None) for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False)) if e > s]
+                    found = shots(avi, images)
+                    out += [(keys[i], k, *x, avi.problem) for k, x in enumerate(found)]
+                    if avi.problem and not found:
+                        out.append((keys[i], None, None, None, None, None, None, avi.problem))
                 kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(8)], names=["k", "clip", "start_frame", "end_frame", "start_s", "end_s", "difference", "problem"])
 
@@ -558,14 +631,16 @@ def store(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(go), "doc_id long, n_bytes long, media binary")
 
 
+CLIPS = pa.list_(pa.struct([("start_frame", pa.int64()), ("end_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
 def digests(stored: DataFrame) -> DataFrame:
-    """What is read back of each stored file: its payload's length and digests, the file's own, and its shots as a feature."""
+    """What is read back of each stored file: its payload's length and digests, the file's own, its shots as a feature, and as timed clips."""
     ship(stored.sparkSession)
 
-    def feature(images):
-        d = differences(images)
-        found = cuts(d)
-        return f"{len(images)}x{images[0].shape[0]}x{images[0].shape[1]};cuts={','.join(map(str, found))};diff={','.join(str(round(1000 * x)) for x in d[found])};mean={sum(int(x.sum()) for x in images) // max(1, sum(x.size for x in images))}"
+    def feature(images, found):
+        later = found[1:]
+        return f"{len(images)}x{images[0].shape[0]}x{images[0].shape[1]};cuts={','.join(str(x[0]) for x in later)};diff={','.join(str(round(1000 * x[4])) for x in later)};mean={sum(int(x.sum()) for x in images) // max(1, sum(x.size for x in images))}"
 
     def go(batches):
         for batch in batches:
@@ -573,11 +648,12 @@ def digests(stored: DataFrame) -> DataFrame:
                 part, out = batch.slice(a, b - a), []
                 files = part.column(2).to_pylist()
                 for f, (avi, images, bad) in zip(files, _read(files), strict=True):
-                    if bad:
-                        raise BadMedia(bad)
-                    p = payload(avi, images)
-                    out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), feature(images)))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[k] for r in out], kinds[k]) for k in range(6))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(lean(go), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                    if bad or avi.problem:
+                        raise BadMedia(bad or avi.problem)
+                    p, found = payload(avi, images), shots(avi, images)
+                    clip_rows = [dict(zip(("start_frame", "end_frame", "start_s", "end_s"), x, strict=False)) for x in found]
+                    out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), feature(images, found), clip_rows))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), CLIPS)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[k] for r in out], kinds[k]) for k in range(7))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(lean(go), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_frame: long, end_frame: long, start_s: double, end_s: double>>")
