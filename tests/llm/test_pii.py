@@ -53,3 +53,16 @@ def test_redact_keeps_rows_and_columns(spark):
     one = spark.createDataFrame([(1, "call +1 212 555 0100 or a@b.co."), (2, None)], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(one).orderBy("doc_id").collect()] == ["call [PHONE] or [EMAIL].", None]
     assert pii.find(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "end"), [("IBAN CZ6508000000192000145399 BIC ABCD", 29), ("iban XX23 8000 0000 1920 0014 53 ABC 1", 0), ("bank CZ65 0800 0000 1920 0014 5399 AND MORE", 34)])
+def test_number_before_other_words(text, end):
+    found = [x for x in pii.spans(text) if x[1] == 4]
+    assert [x[2] for x in found] == ([end] if end else [])
+
+
+def test_unlisted_country_ends_at_a_word():
+    body = "8000000019200014"
+    check = next(f"{n:02d}" for n in range(2, 99) if pii.mod97(f"XX{n:02d}{body}"))
+    text = f"account XX{check}{body} PLEASE NOTE"
+    assert [(a, b) for a, k, b, _ in pii.spans(text) if k == 4] == [(8, 8 + 20)]

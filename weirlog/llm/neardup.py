@@ -302,7 +302,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     result, scratch = classes(docs)
     stay = result.filter("first_h is null or first_h = h").select(F.col("h").alias("__h"), F.col("first_h").isNotNull().alias("__once")).distinct()
     packed = docs.select(row_hash().alias("__h"), F.struct("*").alias("__row")).join(stay, "__h")
-    once = packed.filter("__once").groupBy("__h").agg(F.first("__row").alias("__row")).select("__row.*")
+    # Rows of one id and text may differ in other columns; the same one of them stays on every run.
+    once = packed.filter("__once").groupBy("__h").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*")
     return once.unionByName(packed.filter("not __once").select("__row.*"))
 
 

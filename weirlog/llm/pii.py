@@ -36,7 +36,12 @@ NUMBER_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGITS = re.compile(r"[^0-9]+")
 
 # Lengths of an IBAN by country; others pass from 15 to 34.
-IBAN_LENGTH = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24,
+    "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24,
+    "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
 
 # Score before context, and words that raise or lower it.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "id": 0.4}
@@ -107,19 +112,17 @@ def spans(text: str) -> list[tuple[int, int, int, float]]:
 
 
 def _ibans(text: str):
+    """The pattern may run on into following words: the country's length says where a number ends, else the shortest that passes at a word's end."""
     for m in IBAN.finditer(text):
-        # The pattern may run on into a following word group; the country's length says where it ends.
-        want, seen = IBAN_LENGTH.get(m[0][:2]), 0
+        want, seen, ends = IBAN_LENGTH.get(m[0][:2]), 0, []
         for i, c in enumerate(m[0]):
             seen += c != " "
-            if want and seen == want:
-                after = text[m.start() + i + 1 : m.start() + i + 2]
-                if not (after.isascii() and after.isalnum()) and mod97(m[0][: i + 1].replace(" ", "")):
-                    yield m.start(), m.start() + i + 1
-                break
-        else:
-            if not want and 15 <= seen <= 34 and mod97(m[0].replace(" ", "")):
-                yield m.start(), m.end()
+            after = text[m.start() + i + 1 : m.start() + i + 2]
+            if c != " " and (seen == want if want else 15 <= seen <= 34) and not (after.isascii() and after.isalnum()):
+                ends.append(i + 1)
+        end = next((e for e in ends if mod97(m[0][:e].replace(" ", ""))), None)
+        if end:
+            yield m.start(), m.start() + end
 
 
 def joined(found, kinds=range(len(KINDS))) -> str:
