@@ -246,6 +246,10 @@ SQL = {
     "occurrence_match": f"""WITH {STREAMS}, a AS (SELECT did, kind, row_number() OVER (PARTITION BY did, kind ORDER BY t) AS occ FROM up), b AS (SELECT did, kind, row_number() OVER (PARTITION BY did, kind ORDER BY t) AS occ, true AS have FROM fst WHERE event_id >= 0)
       SELECT did, kind, count(have) AS matched, count(*) FILTER (have IS NULL) AS missing FROM a LEFT JOIN b USING (did, kind, occ) GROUP BY 1, 2""",
     "order_inversions": f"WITH {STREAMS}, p AS (SELECT did, r, lag(r) OVER (PARTITION BY did ORDER BY event_id) AS q FROM pairs WHERE r - l IS NOT NULL) SELECT did, count(*) FILTER (r < q) AS inversions FROM p GROUP BY did HAVING count(*) FILTER (r < q) > 0",
+    "greedy_match": f"""WITH RECURSIVE {STREAMS}, s AS (SELECT did, event_id, t, row_number() OVER (PARTITION BY did ORDER BY t, event_id) AS n FROM up WHERE kind = 'identity'),
+      q AS (SELECT did, event_id, t, row_number() OVER (PARTITION BY did ORDER BY t, event_id) AS k FROM fst WHERE kind = 'identity'),
+      m(did, n, k) AS (SELECT DISTINCT did, 0::BIGINT, 0::BIGINT FROM s UNION ALL SELECT m.did, s.n, min(q.k) FROM m JOIN s ON s.did = m.did AND s.n = m.n + 1 JOIN q ON q.did = m.did AND q.k > m.k AND q.t >= s.t GROUP BY m.did, s.n)
+      SELECT did, 'identity' AS kind, s.event_id AS source, q.event_id AS relay, q.t - s.t AS latency FROM m JOIN s USING (did, n) JOIN q USING (did, k)""",
     "relay_only": f"WITH {STREAMS} SELECT did, kind, event_id FROM rel WHERE did IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0) AND (did, kind, event_id) NOT IN (SELECT did, kind, event_id FROM up)",
     "alias_pairs": """WITH a AS (SELECT source AS pair, doc_id AS seq, sha256(text) AS did FROM documents), b AS (SELECT * FROM a WHERE seq % 400 <> 0 OR pair = 'src0'), e AS (SELECT pair, max(seq) AS z FROM b GROUP BY pair),
       f AS (SELECT a.pair, a.seq, b.seq AS other FROM a LEFT JOIN b USING (pair, seq, did)), g AS (SELECT pair, count(other) AS matches, count(*) FILTER (other IS NULL AND z >= seq) AS differ FROM f JOIN e USING (pair) GROUP BY pair)
