@@ -108,3 +108,11 @@ def test_segments(spark, tmp_path):
         segments.commit(spark, root, refs, 2)
     with pytest.raises(FileNotFoundError):
         segments.scan(spark, root, 500)
+
+
+def test_byte_budget_takes_empty_entries(spark):
+    """More entries than the budget has bytes, many of them empty, over several stretches."""
+    rows = [(i, 1 if i % 3000 == 0 else 0) for i in range(1, 20_000)]
+    got = sorted(r["seq"] for r in audit.byte_budget(spark.createDataFrame(rows, "seq long, bytes long"), 5, 3).collect())
+    assert got == list(range(5, 12_000))
+    assert [r["seq"] for r in audit.byte_budget(spark.createDataFrame([(7, 9), (8, 1)], "seq long, bytes long"), 0, 3).collect()] == [7]

@@ -145,11 +145,19 @@ def fault_sessions(faults: DataFrame, pauses: DataFrame, within: int) -> DataFra
     return merged.join(best, ["kind", "n"], "left").select("kind", "start", "stop", "faults", "pause")
 
 
+#: Seqs whose bytes are summed as one.
+STRETCH = 4096
+
+
 def byte_budget(entries: DataFrame, start: int, budget: int) -> DataFrame:
     """Entries from a seq while their bytes fit a budget; the first always comes."""
-    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = entries.filter(F.col("seq") >= start).orderBy("seq").limit(budget)
-    return rows.withColumn("before", F.coalesce(F.sum("bytes").over(w), F.lit(0))).filter((F.col("before") + F.col("bytes") <= budget) | (F.col("before") == 0)).drop("before")
+    # Bytes are summed in two levels: by stretch of seqs, then inside the stretches that the budget reaches.
+    rows = entries.filter(F.col("seq") >= start).withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+    sums = rows.groupBy("stretch").agg(F.sum("bytes").alias("sum"))
+    earlier = sums.select("stretch", (F.sum("sum").over(Window.orderBy("stretch")) - F.col("sum")).alias("earlier")).filter(F.col("earlier") <= budget)
+    inside = Window.partitionBy("stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(earlier, "stretch").withColumn("before", F.col("earlier") + F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+    return placed.filter((F.col("before") + F.col("bytes") <= budget) | (F.col("before") == 0)).select(*entries.columns)
 
 
 def tier_of(seq: Column, ring_from: int, disk_from: int) -> Column:
