@@ -1,4 +1,5 @@
 from collections import Counter
+from math import comb
 
 import pytest
 
@@ -80,3 +81,17 @@ def test_empty(spark):
 
 def test_runs_reach_the_recall():
     assert len(neardup.runs(0.999)) == 5 and len(set(neardup.runs())) == len(neardup.runs())
+
+
+@pytest.mark.parametrize("splits", range(neardup.DEPTH))
+def test_split_buckets_keep_the_recall(splits):
+    """The exact chance that a pair at the threshold, whose sketches agree enough, meets in no leaf when its buckets split so often."""
+    n, tried, s, missed = neardup.COORDINATES, len(neardup.runs()), neardup.NUMERATOR / neardup.DENOMINATOR, 0.0
+    for agree in range(neardup.UNITE, n + 1):
+        together = 1.0
+        for level in reversed(range(splits)):
+            together = 1 - (1 - agree / n * together) ** neardup.BRANCH[level]
+        for met in range(max(0, tried - n + agree), min(agree, tried) + 1):
+            drawn = comb(agree, met) * comb(n - agree, tried - met) / comb(n, tried)
+            missed += comb(n, agree) * s**agree * (1 - s) ** (n - agree) * drawn * (1 - together) ** met
+    assert missed < 1e-7

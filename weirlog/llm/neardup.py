@@ -35,8 +35,9 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of at least 4 / 5
 COORDINATES, RECALL = 64, 0.999999999
 #: Agreeing coordinates of 64 from which two sketches are united; at the threshold fewer have a chance of about 3e-8.
 UNITE = 30
-#: Members up to which a bucket is compared by brute force; levels; coordinates sampled at the second level and below it.
-BUCKET, DEPTH, BRANCH = 1024, 4, (2, 1, 1)
+#: Members up to which a bucket is compared by brute force; levels; coordinates sampled at the second level and below it,
+#: as many as keep a pair at the threshold together in some run whose buckets split at every level (a miss of 5e-8).
+BUCKET, DEPTH, BRANCH = 1024, 4, (3, 2, 2)
 BLOCK, WHOLE = 64, 128
 BITMAP = 1 << 23
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -176,7 +177,7 @@ def _family_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             if large.isEmpty():
                 break
-            # Two coordinates sampled by the bucket's path; the child's path is the parent's and the value there.
+            # Coordinates are sampled by the bucket's path; the child's path is the parent's and the value there.
             child = [F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(COORDINATES)) + 1 for j in range(BRANCH[level - 1])]
             value = [F.xxhash64("key", c, F.substring("sketch", c.cast("int"), F.lit(1))) for c in child]
             rows = large.select(F.explode(F.array(*value)).alias("key"), "rep", "sketch")
