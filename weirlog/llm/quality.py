@@ -1,19 +1,22 @@
 """Positive-unlabelled learning of text quality by non-negative risk.
 
-Trusted positives are rows labelled 1 outside the held-out fold; the unlabelled rows are a thinned
-sample of all documents outside it. Rows labelled 0 are never used. The class prior is the least
-ratio of the unlabelled to the positive share above a score (where only positives are, the ratio is
-the prior); scores of rows that were learnt from make it too small, scores learnt from half of few
-rows too large, and the mean of both is taken. A linear model on text statistics then minimises the non-negative unbiased risk: where
-the estimate of the negative part falls below zero, the step ascends it instead.
+Trusted positives are rows labelled 1 outside the held-out fold; the unlabelled rows are all documents
+outside it. Rows labelled 0 are never used. The class prior is the least ratio of the unlabelled to the
+positive share above a score (where only positives are, the ratio is the prior). Scores that learnt from
+the rows make it too small, scores that learnt from half of few rows too large, and the mean of both is
+taken; the unlabelled shares are counted over all unlabelled documents in one pass that returns a few
+counts from each task. A linear model on text statistics then minimises the non-negative unbiased risk:
+where the estimate of the negative part falls below zero, the step ascends it instead.
 
 Inputs of a score are counted from the text alone: shares of pairs of character kinds, and shapes of
-words and lines. Samples are bounded by `POSITIVES` and `UNLABELLED`; every document is scored whole.
+words and lines. The rows that weights are fitted on are bounded by
+`POSITIVES` and (about, thinned by hash) `UNLABELLED`; every document is scored whole.
 
 Defined results: a null text counts as empty; an empty text has the score that the model gives to a
 text without characters; a document with several labels is a positive if its labels' mean is above one
-half; without any positives, every score is 0.5; repeated rows are scored each; further columns are
-not read, or, in `keep`, come back unchanged.
+half; without any positives, every score is 0.5; equal texts have equal scores; a text of any length is
+read whole; repeated rows are scored each; an empty table gives no rows; further columns are not read,
+or, in `keep`, come back unchanged.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from weirlog.llm.learning import Adam, sample, sigmoid, thinned
 FOLDS, HELD, ACCEPT = 4, 2, 0.7
 POSITIVES, UNLABELLED = 12_000, 24_000
 STEPS, RATE, DECAY = 300, 0.05, 0.05
+EDGES = 31
 
 # The kinds of characters by byte; every other punctuation mark is one kind.
 _OWN = b"!.,|$%&*#-"
@@ -93,16 +97,28 @@ class Model:
         return sigmoid(z @ self.weights + self.bias)
 
 
+def _edges(positive: np.ndarray) -> np.ndarray:
+    """Scores at quantiles of the positives; the highest tails are left out, where the ratio is mostly noise."""
+    return np.quantile(positive, np.linspace(0.05, 0.8, EDGES))
+
+
+def _least_ratio(positive: np.ndarray, above: np.ndarray, total: int, margin: float) -> float:
+    """The prior from the positives' scores and from how many of so many unlabelled rows score at each edge or above it."""
+    p = (positive[None, :] >= _edges(positive)[:, None]).mean(1)
+    noise = margin / np.sqrt(np.maximum(p * min(len(positive), total), 1))
+    return float(np.clip((above / total / p + noise).min(), 0.05, 0.98))
+
+
+def _above(scores: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many scores reach each of the ascending edges."""
+    return len(scores) - np.searchsorted(np.sort(scores), edges, side="left")
+
+
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 1.0) -> float:
     """The least ratio of shares above a score, with a margin of so many deviations. Only scores with enough positives above them are asked."""
     if not len(positive) or not len(unlabelled):
         return 0.5
-    # Quantiles of the positives; the highest tails are left out, where the ratio is mostly noise.
-    edges = np.quantile(positive, np.linspace(0.05, 0.8, 31))
-    p = np.array([(positive >= e).mean() for e in edges])
-    u = np.array([(unlabelled >= e).mean() for e in edges])
-    noise = margin / np.sqrt(np.maximum(p * min(len(positive), len(unlabelled)), 1))
-    return float(np.clip((u / p + noise).min(), 0.05, 0.98))
+    return _least_ratio(positive, _above(unlabelled, _edges(positive)), len(unlabelled), margin)
 
 
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> tuple[np.ndarray, float]:
@@ -127,39 +143,99 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> t
     return x[:size], float(x[size])
 
 
-def cross_fitted_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The prior as each half of the rows gives it under scores learnt from the other half; no row is scored by a model that has seen it."""
-    out = []
-    for side in (0, 1):
-        w, b = _fit(positive[side::2], unlabelled[side::2], None) if len(positive) > 1 and len(unlabelled) > 1 else _fit(positive, unlabelled, None)
-        p, u = (m[1 - side :: 2] if len(m) > 1 else m for m in (positive, unlabelled))
-        out.append(estimated_prior(p @ w + b, u @ w + b, 0.0))
-    return float(np.mean(out))
+@dataclass
+class Probes:
+    """Rows learnt from, standardised, and three models of positives against unlabelled rows: one of all rows, one of each half."""
 
+    mean: np.ndarray
+    spread: np.ndarray
+    positive: np.ndarray
+    unlabelled: np.ndarray
+    halves: tuple[np.ndarray, np.ndarray]
+    models: list[tuple[np.ndarray, float]]
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -6, 6)
+
+    def judged(self, k: int) -> np.ndarray:
+        """Scores that model k gives to positives: to all, or, if it learnt from one half, to the other."""
+        w, b = self.models[k]
+        unseen = self.positive[self.halves[0] == 2 - k] if k else self.positive
+        return (unseen if len(unseen) else self.positive) @ w + b
+
+    def edges(self) -> np.ndarray:
+        return np.array([_edges(self.judged(k)) for k in range(3)])
+
+    def counts(self, x: np.ndarray, half: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """For each model, of unlabelled rows that it has not learnt from (the first: of all): how many reach each edge, and how many there are."""
+        z, out = self.scaled(x), np.zeros((3, EDGES + 1), np.int64)
+        for k, (w, b) in enumerate(self.models):
+            s = (z[half == 2 - k] if k else z) @ w + b
+            out[k, :EDGES], out[k, EDGES] = _above(s, edges[k]), len(s)
+        return out
+
+
+def probe(positive: np.ndarray, unlabelled: np.ndarray, halves: tuple[np.ndarray, np.ndarray]) -> Probes:
+    """Model 1 learns from the rows of half 0, model 2 from those of half 1; a half without rows of a kind takes the other's."""
+    both = np.vstack((positive, unlabelled))
+    out = Probes(both.mean(0), both.std(0) + 1e-3, positive, unlabelled, halves, [])
+    out.positive, out.unlabelled = (out.scaled(m).astype(np.float64) for m in (positive, unlabelled))
+    for k in range(3):
+        sides = [m[h == k - 1] if k and (h == k - 1).any() else m for m, h in zip((out.positive, out.unlabelled), halves, strict=True)]
+        out.models.append(_fit(*sides, None))
+    return out
+
+
+def fit(probes: Probes, counts: np.ndarray) -> Model:
+    """The model of least non-negative risk, at the prior that the counts of all unlabelled rows give: the mean of what rows learnt from and what cross-fitted scores say."""
+    told = [_least_ratio(probes.judged(k), counts[k, :EDGES], int(counts[k, EDGES]), 0.0 if k else 1.0) for k in range(3) if counts[k, EDGES]]
+    prior = (told[0] + float(np.mean(told[1:] or told))) / 2
+    return Model(probes.mean, probes.spread, *_fit(probes.positive, probes.unlabelled, prior), prior)
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    both = np.vstack((positive, unlabelled)) if len(positive) or len(unlabelled) else np.zeros((1, SIZE), np.float32)
-    mean, spread = both.mean(0), both.std(0) + 1e-3
-    if not len(positive) or not len(unlabelled):
-        return Model(mean, spread, np.zeros(SIZE), 0.0, 0.5)
-    p, u = (np.clip((m - mean) / spread, -6, 6).astype(np.float64) for m in (positive, unlabelled))
-    w, b = _fit(p, u, None)
-    prior = (estimated_prior(p @ w + b, u @ w + b) + cross_fitted_prior(p, u)) / 2
-    w, b = _fit(p, u, prior)
-    return Model(mean, spread, w, b, prior)
 
+NOTHING = Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0, 0.5)
 
-def _featured(rows: DataFrame) -> np.ndarray:
-    """Features of a bounded set of rows (text binary), on the driver."""
+
+def _batches(batch):
+    """Features of a batch's texts (its first column, binary), some megabytes of text at a time, with their places."""
+    texts = batch.column(0)
+    for a, b in slices(pc.binary_length(texts).to_pylist(), 1 << 21):
+        yield a, b, features(texts[a:b].to_pylist())
+
+
+def _half():
+    """0 or 1 by the id's hash: the half that a document belongs to in cross-fitting."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2)).cast("int").alias("half")
+
+
+def _featured(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and halves of a bounded set of rows (text binary), on the driver."""
+
+    def go(batches):
+        for batch in batches:
+            for a, b, x in _batches(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)[a:b]], names=["x", "half"])
+
+    found = rows.select("text", _half()).mapInArrow(lean(go), "x binary, half int").toArrow()
+    return np.frombuffer(b"".join(found.column(0).to_pylist()), np.float32).reshape(-1, SIZE), found.column(1).to_numpy()
+
+
+def _counted(rows: DataFrame, probes: Probes) -> np.ndarray:
+    """`Probes.counts` over all rows: each task sends one row of counts for each model, and they are summed."""
+    edges = probes.edges()
+    small = Probes(probes.mean, probes.spread, np.empty(0), np.empty(0), (np.empty(0), np.empty(0)), probes.models)
 
     def go(batches):
+        total = np.zeros((3, EDGES + 1), np.int64)
         for batch in batches:
-            for a, b in slices(pc.binary_length(batch.column(0)).to_pylist(), 1 << 21):
-                x = features(batch.column(0)[a:b].to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
+            half = batch.column(1).to_numpy()
+            for a, b, x in _batches(batch):
+                total += small.counts(x, half[a:b], edges)
+        yield pa.RecordBatch.from_arrays([pa.array(range(3), pa.int32()), pa.array(total.tolist(), pa.list_(pa.int64()))], names=["model", "n"])
 
-    found = rows.select("text").mapInArrow(lean(go), "x binary").toArrow().column(0)
-    return np.frombuffer(b"".join(found.to_pylist()), np.float32).reshape(-1, SIZE)
+    sums = [F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(EDGES + 1)]
+    found = rows.select("text", _half()).mapInArrow(lean(go), "model int, n array<long>").groupBy("model").agg(*sums).orderBy("model").collect()
+    return np.array([list(r)[1:] for r in found], np.int64).reshape(-1, EDGES + 1)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -173,9 +249,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter("doc_id is not null and quality is not null")
     good = told.filter(id_bucket(FOLDS) != HELD).groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q > 0.5").select("doc_id")
     # At most POSITIVES ids are broadcast, so no text is shuffled.
-    positive = rows.join(F.broadcast(sample(good, "doc_id", POSITIVES)), "doc_id", "left_semi")
-    unlabelled = thinned(rows, F.col("doc_id"), UNLABELLED, docs.count())
-    return fit(_featured(positive), _featured(unlabelled))
+    positive, own = _featured(rows.join(F.broadcast(sample(good, "doc_id", POSITIVES)), "doc_id", "left_semi"))
+    unlabelled, other = _featured(thinned(rows, F.col("doc_id"), UNLABELLED, rows.count()))
+    if not len(positive) or not len(unlabelled):
+        return NOTHING
+    probes = probe(positive, unlabelled, (own, other))
+    return fit(probes, _counted(rows, probes))
 
 
 def _scores(model: Model):
