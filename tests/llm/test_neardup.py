@@ -1,9 +1,12 @@
 from collections import Counter
 from math import comb
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirlog.llm import neardup
+from weirlog.llm.common import ship
 
 from cases import documents, empty, prose
 
@@ -79,6 +82,47 @@ def test_empty(spark):
     assert neardup.join(empty(spark)).count() == 0 and neardup.first_of_each(empty(spark)).count() == 0
 
 
+def test_last_level_buckets_are_compared(spark, monkeypatch):
+    """Sketches in a large last-level bucket: all that agree enough get united, those that agree little do not."""
+    monkeypatch.setattr(neardup, "BUCKET", 8)
+    rng = np.random.default_rng(3)
+    sketches = []
+    for size in (30, 20, 1, 1, 1):
+        base = rng.integers(0, 256, neardup.COORDINATES)
+        for _ in range(size):
+            mine, k = base.copy(), int(rng.integers(0, 18))
+            mine[rng.choice(neardup.COORDINATES, k, replace=False)] = rng.integers(0, 256, k)
+            sketches.append(mine.astype(np.uint8))
+    first = {"rep": 0, "sketch": bytearray(sketches[0].tobytes())}
+    rows = [(1, i, bytearray(x.tobytes()), first) for i, x in enumerate(sketches)]
+    large = spark.createDataFrame(rows, "key long, rep long, sketch binary, first struct<rep: long, sketch: binary>")
+    stars, rest = neardup._settled(large)
+    sizes = [r["count"] for r in rest.groupBy("key").count().collect()]
+    assert max(sizes) < len(rows) // 2 and rest.select("rep").distinct().count() >= 20
+    ship(spark)
+    edges = stars.union(rest.repartition("key").sortWithinPartitions("key").mapInArrow(neardup._unite, "a long, b long")).collect()
+    got = neardup.local_roots(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), len(rows))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if (sketches[a] == sketches[b]).sum() >= neardup.UNITE]
+    want = neardup.local_roots(*np.array(pairs).T, len(rows))
+    assert got.tolist() == want.tolist() and len(set(got.tolist())) == 5
+
+
+def test_long_texts_are_compared_in_blocks(spark, monkeypatch):
+    """Families whose shingles exceed two blocks."""
+    monkeypatch.setattr(neardup, "SHINGLES", 400)
+    base = prose(300, 5).split()
+    rows = [(i, " ".join([*base[: 300 - i], f"w{i}"])) for i in range(12)] + [(12, None), (13, prose(300, 6))]
+    check(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_equal_hashes_of_different_documents(spark, monkeypatch):
+    """Documents are told apart by their ids where row hashes collide."""
+    monkeypatch.setattr(neardup, "row_hash", lambda: F.lit(7).cast("long").alias("h"))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l"), (None, "m n o p q"), (4, "")], "doc_id long, text string")
+    check(spark, docs)
+    assert {r["doc_id"] for r in neardup.first_of_each(docs).collect()} == {1, 3, 4, None}
+
+
 def test_runs_reach_the_recall():
     assert len(neardup.runs(0.999)) == 5 and len(set(neardup.runs())) == len(neardup.runs())
 

@@ -4,11 +4,12 @@ Documents become sets of five-word shingles. Documents with one set collapse to
 Each representative is embedded by min-wise hashing; a run samples one coordinate and puts the
 representative into the bucket of its value there. Runs repeat until a pair at the threshold shares
 a bucket with the target recall. A bucket above `BUCKET` members is split again on sampled
-coordinates, down to `DEPTH` levels; what is still large then is alike in every sampled coordinate
-and is kept together whole. Buckets are compared by brute force on sketches, which only unites
-documents into families (with a wide margin below the threshold); inside each family every pair is
-then verified on the exact sets, large families in blocks of `BLOCK` so that no task sees a whole
-one. Nothing is capped: a family of any size is compared in full.
+coordinates, down to `DEPTH` levels. Buckets are compared by brute force on sketches, which only
+unites documents into families (with a wide margin below the threshold). What is still large at the
+last level is compared with the bucket's first member, and what is not close to that by blocks; no
+documents are united without a comparison. Inside each family every pair is then verified on the
+exact sets, large families in blocks, bounded in members and in shingles, so that no task sees a
+whole one. Nothing is capped: a family of any size is compared in full.
 
 Defined results: a text without words (null, empty) has no shingles, no link, and its own id as
 class; one to four words make one shingle; equal sets are copies (similarity 1) and count as links;
@@ -38,8 +39,12 @@ UNITE = 30
 #: Members up to which a bucket is compared by brute force; levels; coordinates sampled at the second level and below it,
 #: as many as keep a pair at the threshold together in some run whose buckets split at every level (a miss of 5e-8).
 BUCKET, DEPTH, BRANCH = 1024, 4, (3, 2, 2)
-BLOCK, WHOLE = 64, 128
-BITMAP = 1 << 23
+#: Sketches that agree with a last-level bucket's first in so many coordinates are settled by it.
+CLOSE = 48
+#: Members of a block; of a family that is compared whole; shingles of a block, which ends sooner where texts are long.
+BLOCK, WHOLE, SHINGLES = 256, 512, 1 << 18
+#: Bits for each member of a family in the bitmap that spares other texts the shuffle, and the bitmap's least and largest size (32 MB).
+BITS, BITMAPS = 8, (1 << 20, 1 << 28)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240101)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,12 +173,14 @@ def _family_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
     rows = reps.select(F.explode("keys").alias("key"), "rep", "sketch")
     small, stars = [], None
     for level in range(1, DEPTH + 1):
-        shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("least")).filter("members > 1")
+        first = F.min(F.struct("rep", "sketch")).alias("first") if level == DEPTH else F.min("rep").alias("first")
+        shared = rows.groupBy("key").agg(F.count("*").alias("members"), first).filter("members > 1")
         rows = scratch.write(rows.join(shared, "key"))
         small.append(rows.filter(F.col("members") <= BUCKET).select("key", "rep", "sketch"))
         large = rows.filter(F.col("members") > BUCKET)
         if level == DEPTH:
-            stars = large.select(F.col("rep").alias("a"), F.col("least").alias("b"))
+            stars, rest = _settled(large)
+            small.append(rest)
         else:
             if large.isEmpty():
                 break
@@ -188,6 +195,27 @@ def _family_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
     return found if stars is None else found.union(stars)
 
 
+def _settled(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges to the first member of each large bucket, and buckets (key, rep, sketch) for brute force that compare what is not settled.
+
+    Coordinates in which two sketches differ obey the triangle inequality. So a sketch that agrees with one
+    close to the first in UNITE coordinates agrees with the first in UNITE - (COORDINATES - CLOSE); all of those
+    get an edge to the first, and those close to it need no further comparison. The rest meet in pairs of blocks.
+    """
+    agree = sum((F.substring("sketch", c, 1) == F.substring("first.sketch", c, 1)).cast("int") for c in range(1, COORDINATES + 1))
+    seen = large.withColumn("agree", agree)
+    stars = seen.filter(F.col("agree") >= UNITE - COORDINATES + CLOSE).select(F.col("rep").alias("a"), F.col("first.rep").alias("b"))
+    far = seen.filter(F.col("agree") < CLOSE).select("key", "rep", "sketch")
+    blocks = far.groupBy("key").agg(F.ceil(F.count("*") / max(1, BUCKET // 2)).alias("blocks"))
+    return stars, _paired(far.join(blocks, "key")).select(F.xxhash64("key", "i", "j").alias("key"), "rep", "sketch")
+
+
+def _paired(members: DataFrame) -> DataFrame:
+    """Each member (rep, blocks) once for every pair (i, j) of blocks that its own block is in."""
+    placed = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+
+
 def _verify(batches):
     """Groups (family, block pair) arrive whole and sorted; for each member its root, and the copies that it links to, within the group."""
     held: list[dict] = []
@@ -242,7 +270,10 @@ def _verify(batches):
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, Scratch]:
-    """A row for each document: doc_id, h (row hash), class_id, n_links, and first_h, the row hash of the class's first document."""
+    """A row for each document: doc_id, h (row hash), class_id, n_links, and first_h, the row hash of the class's first document.
+
+    A document is known by its id and its row hash together, so equal hashes of different documents do no harm.
+    """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
@@ -250,11 +281,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     # The first document of a set is the one of the smallest id, null last.
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     reps = scratch.write(
-        rows.filter("n > 0").groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("rep", F.monotonically_increasing_id())
+        rows.filter("n > 0").groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n").alias("n")).withColumn("rep", F.monotonically_increasing_id())
     )
     families = components(_family_edges(reps, scratch), scratch).select(F.col("node").alias("rep"), F.col("root").alias("family"))
-    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
-    member = scratch.write(families.join(sizes, "family").join(reps.select("rep", "copies", F.col("first.h").alias("h")), "rep").withColumn("blocks", F.when(F.col("members") <= WHOLE, F.lit(1)).otherwise(F.ceil(F.col("members") / BLOCK))))
+    joined = scratch.write(families.join(reps.select("rep", "copies", "n", F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")), "rep"))
+    parts = F.least("members", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / SHINGLES)))
+    whole = (F.col("members") <= WHOLE) & (F.col("shingles") <= 2 * SHINGLES)
+    sizes = joined.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).select("family", F.when(whole, F.lit(1).cast("long")).otherwise(parts).alias("blocks"))
+    member = scratch.write(joined.join(sizes, "family").drop("n"))
     near = scratch.write(_linked(docs, member))
     # Families compared whole have their roots; those compared in blocks still have to join theirs.
     joined = components(near.filter("blocks > 1").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
@@ -271,10 +305,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, Scratch]:
 def _linked(docs: DataFrame, member: DataFrame) -> DataFrame:
     """Verified links within families. Texts are read again, only for first documents of sets in families.
 
-    A bitmap of fixed size rules out most other documents before the shuffle; what it lets by falls out in the join.
+    A bitmap of bounded size rules out most other documents before the shuffle; what it lets by falls out in the join.
     """
-    bits = bytearray(BITMAP // 8)
-    spread = member.select((F.pmod("h", F.lit(BITMAP)) + 1).alias("b"))
+    least, largest = BITMAPS
+    size = min(largest, max(least, 1 << (BITS * member.count()).bit_length()))
+    bits = bytearray(size // 8)
+    spread = member.select((F.pmod("h", F.lit(size)) + 1).alias("b"))
     parts = spread.groupBy(F.expr("bitmap_bucket_number(b)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("on"))
     for part, on in parts.collect():
         bits[(part - 1) * 4096 : part * 4096] = on
@@ -282,13 +318,12 @@ def _linked(docs: DataFrame, member: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def maybe(h):
-        at = h.to_numpy() & (BITMAP - 1)
+        at = h.to_numpy() & (size - 1)
         return type(h)((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    texts = docs.select(row_hash(), text_or_empty().cast("binary").alias("text")).filter(maybe("h")).join(member, "h")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    placed = texts.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block", "copies", "blocks", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(), text_or_empty().cast("binary").alias("text")).filter(maybe("h"))
+    held = texts.join(member.withColumnRenamed("h", "first_h"), (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    placed = _paired(held).select("family", "i", "j", "rep", "block", "copies", "blocks", "text")
     return placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep").mapInArrow(lean(_verify), "rep long, root long, links long, blocks long")
 
 
@@ -301,10 +336,10 @@ def join(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, less those whose class has an earlier document; a repeated row stays once. Texts without words all stay."""
     result, scratch = classes(docs)
-    stay = result.filter("first_h is null or first_h = h").select(F.col("h").alias("__h"), F.col("first_h").isNotNull().alias("__once")).distinct()
-    packed = docs.select(row_hash().alias("__h"), F.struct("*").alias("__row")).join(stay, "__h")
+    stay = result.filter("first_h is null or (first_h = h and class_id <=> doc_id)").select(F.col("h").alias("__first"), F.col("doc_id").alias("__id"), F.col("first_h").isNotNull().alias("__once")).distinct()
+    packed = docs.select(row_hash().alias("__h"), F.col("doc_id").cast("long").alias("__doc"), F.struct("*").alias("__row")).join(stay, (F.col("__h") == F.col("__first")) & F.col("__doc").eqNullSafe(F.col("__id")))
     # Rows of one id and text may differ in other columns; the same one of them stays on every run.
-    once = packed.filter("__once").groupBy("__h").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*")
+    once = packed.filter("__once").groupBy("__h", "__doc").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*")
     return once.unionByName(packed.filter("not __once").select("__row.*"))
 
 
