@@ -82,7 +82,7 @@ def test_empty(spark):
     assert neardup.join(empty(spark)).count() == 0 and neardup.first_of_each(empty(spark)).count() == 0
 
 
-def test_last_level_buckets_are_compared(spark, monkeypatch):
+def test_large_buckets_are_compared(spark, monkeypatch):
     """Sketches in a large last-level bucket: all that agree enough get united, those that agree little do not."""
     monkeypatch.setattr(neardup, "BUCKET", 8)
     rng = np.random.default_rng(3)
@@ -93,12 +93,11 @@ def test_last_level_buckets_are_compared(spark, monkeypatch):
             mine, k = base.copy(), int(rng.integers(0, 18))
             mine[rng.choice(neardup.COORDINATES, k, replace=False)] = rng.integers(0, 256, k)
             sketches.append(mine.astype(np.uint8))
-    first = {"rep": 0, "sketch": bytearray(sketches[0].tobytes())}
-    rows = [(1, i, bytearray(x.tobytes()), first) for i, x in enumerate(sketches)]
-    large = spark.createDataFrame(rows, "key long, rep long, sketch binary, first struct<rep: long, sketch: binary>")
-    stars, rest = neardup._settled(large)
-    sizes = [r["count"] for r in rest.groupBy("key").count().collect()]
-    assert max(sizes) < len(rows) // 2 and rest.select("rep").distinct().count() >= 20
+    rows = [(1, i, bytearray(x.tobytes()), 0) for i, x in enumerate(sketches)]
+    stars, far = neardup._settled(spark.createDataFrame(rows, "key long, rep long, sketch binary, first long"))
+    assert stars.count() == 30 and 23 <= far.count() < 53
+    rest = neardup._in_blocks(far.withColumn("left", F.lit(far.count())))
+    assert max(r["count"] for r in rest.groupBy("key").count().collect()) < 30
     ship(spark)
     edges = stars.union(rest.repartition("key").sortWithinPartitions("key").mapInArrow(neardup._unite, "a long, b long")).collect()
     got = neardup.local_roots(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), len(rows))

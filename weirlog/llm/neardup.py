@@ -5,9 +5,9 @@ Each representative is embedded by min-wise hashing; a run samples one coordinat
 representative into the bucket of its value there. Runs repeat until a pair at the threshold shares
 a bucket with the target recall. A bucket above `BUCKET` members is split again on sampled
 coordinates, down to `DEPTH` levels. Buckets are compared by brute force on sketches, which only
-unites documents into families (with a wide margin below the threshold). What is still large at the
-last level is compared with the bucket's first member, and what is not close to that by blocks; no
-documents are united without a comparison. Inside each family every pair is then verified on the
+unites documents into families (with a wide margin below the threshold). A large bucket is first compared
+with one of its members; those close to it are settled and only the others are split. What is
+still large at the last level is compared by blocks; no documents are united without a comparison. Inside each family every pair is then verified on the
 exact sets, large families in blocks, bounded in members and in shingles, so that no task sees a
 whole one. Nothing is capped: a family of any size is compared in full.
 
@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.llm.common import lean, ship, slices, text_or_empty
@@ -39,8 +40,8 @@ UNITE = 30
 #: Members up to which a bucket is compared by brute force; levels; coordinates sampled at the second level and below it,
 #: as many as keep a pair at the threshold together in some run whose buckets split at every level (a miss of 5e-8).
 BUCKET, DEPTH, BRANCH = 1024, 4, (3, 2, 2)
-#: Sketches that agree with a last-level bucket's first in so many coordinates are settled by it.
-CLOSE = 48
+#: Sketches that agree with a large bucket's first member in so many coordinates are settled by it.
+CLOSE = 54
 #: Members of a block; of a family that is compared whole; shingles of a block, which ends sooner where texts are long.
 BLOCK, WHOLE, SHINGLES = 256, 512, 1 << 18
 #: Bits for each member of a family in the bitmap that spares other texts the shuffle, and the bitmap's least and largest size (32 MB).
@@ -171,43 +172,48 @@ def _unite(batches):
 def _family_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges that unite representatives into families: chosen paths, then sketches in small buckets."""
     rows = reps.select(F.explode("keys").alias("key"), "rep", "sketch")
-    small, stars = [], None
+    found, leaves = [], []
     for level in range(1, DEPTH + 1):
-        first = F.min(F.struct("rep", "sketch")).alias("first") if level == DEPTH else F.min("rep").alias("first")
-        shared = rows.groupBy("key").agg(F.count("*").alias("members"), first).filter("members > 1")
+        shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("first")).filter("members > 1")
         rows = scratch.write(rows.join(shared, "key"))
-        small.append(rows.filter(F.col("members") <= BUCKET).select("key", "rep", "sketch"))
+        leaves.append(rows.filter(F.col("members") <= BUCKET).select("key", "rep", "sketch"))
         large = rows.filter(F.col("members") > BUCKET)
+        if large.isEmpty():
+            break
+        stars, far = _settled(large)
+        far = scratch.write(far.join(far.groupBy("key").agg(F.count("*").alias("left")), "key"))
+        found.append(stars)
+        leaves.append(far.filter(F.col("left") <= BUCKET).select("key", "rep", "sketch"))
+        far = far.filter(F.col("left") > BUCKET)
         if level == DEPTH:
-            stars, rest = _settled(large)
-            small.append(rest)
+            leaves.append(_in_blocks(far))
         else:
-            if large.isEmpty():
-                break
             # Coordinates are sampled by the bucket's path; the child's path is the parent's and the value there.
             child = [F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(COORDINATES)) + 1 for j in range(BRANCH[level - 1])]
             value = [F.xxhash64("key", c, F.substring("sketch", c.cast("int"), F.lit(1))) for c in child]
-            rows = large.select(F.explode(F.array(*value)).alias("key"), "rep", "sketch")
-    leaves = small[0]
-    for more in small[1:]:
-        leaves = leaves.union(more)
-    found = leaves.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_unite), "a long, b long")
-    return found if stars is None else found.union(stars)
+            rows = far.select(F.explode(F.array_distinct(F.array(*value))).alias("key"), "rep", "sketch")
+    buckets = reduce(DataFrame.union, leaves)
+    return reduce(DataFrame.union, found, buckets.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_unite), "a long, b long"))
 
 
 def _settled(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges to the first member of each large bucket, and buckets (key, rep, sketch) for brute force that compare what is not settled.
+    """Of large buckets (key, rep, sketch, first): edges to their first member, and (key, rep, sketch) of members that are not settled by it.
 
     Coordinates in which two sketches differ obey the triangle inequality. So a sketch that agrees with one
     close to the first in UNITE coordinates agrees with the first in UNITE - (COORDINATES - CLOSE); all of those
-    get an edge to the first, and those close to it need no further comparison. The rest meet in pairs of blocks.
+    get an edge to the first, and those close to it need no further comparison.
     """
-    agree = sum((F.substring("sketch", c, 1) == F.substring("first.sketch", c, 1)).cast("int") for c in range(1, COORDINATES + 1))
-    seen = large.withColumn("agree", agree)
-    stars = seen.filter(F.col("agree") >= UNITE - COORDINATES + CLOSE).select(F.col("rep").alias("a"), F.col("first.rep").alias("b"))
-    far = seen.filter(F.col("agree") < CLOSE).select("key", "rep", "sketch")
-    blocks = far.groupBy("key").agg(F.ceil(F.count("*") / max(1, BUCKET // 2)).alias("blocks"))
-    return stars, _paired(far.join(blocks, "key")).select(F.xxhash64("key", "i", "j").alias("key"), "rep", "sketch")
+    centre = large.filter("rep = first").select("key", F.col("sketch").alias("centre")).dropDuplicates(["key"])
+    agree = reduce(Column.__add__, [(F.substring("sketch", c, 1) == F.substring("centre", c, 1)).cast("int") for c in range(1, COORDINATES + 1)])
+    seen = large.join(centre, "key").select("key", "rep", "sketch", "first", agree.alias("agree"))
+    stars = seen.filter(F.col("agree") >= UNITE - COORDINATES + CLOSE).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    return stars, seen.filter(F.col("agree") < CLOSE).select("key", "rep", "sketch")
+
+
+def _in_blocks(far: DataFrame) -> DataFrame:
+    """Buckets (key, rep, sketch) of two blocks each, in which all members of a bucket (key, rep, sketch, left) meet."""
+    blocks = F.ceil(F.col("left") / max(1, BUCKET // 2))
+    return _paired(far.select("key", "rep", "sketch", blocks.alias("blocks"))).select(F.xxhash64("key", "i", "j").alias("key"), "rep", "sketch")
 
 
 def _paired(members: DataFrame) -> DataFrame:
