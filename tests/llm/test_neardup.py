@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weirlog.llm import neardup
 from weirlog.llm.common import ship
+from weirlog.scratch import Scratch
 
 from cases import documents, empty, prose
 
@@ -93,10 +94,10 @@ def test_large_buckets_are_compared(spark, monkeypatch):
             mine, k = base.copy(), int(rng.integers(0, 18))
             mine[rng.choice(neardup.COORDINATES, k, replace=False)] = rng.integers(0, 256, k)
             sketches.append(mine.astype(np.uint8))
-    rows = [(1, i, bytearray(x.tobytes()), 0) for i, x in enumerate(sketches)]
-    stars, far = neardup._settled(spark.createDataFrame(rows, "key long, rep long, sketch binary, first long"))
+    rows = [(1, i, bytearray(x.tobytes()), len(sketches), 0) for i, x in enumerate(sketches)]
+    stars, far = neardup._settled(spark.createDataFrame(rows, "key long, rep long, sketch binary, members long, first long"), Scratch(spark))
     assert stars.count() == 30 and 23 <= far.count() < 53
-    rest = neardup._in_blocks(far.withColumn("left", F.lit(far.count())))
+    rest = neardup._in_blocks(far)
     assert max(r["count"] for r in rest.groupBy("key").count().collect()) < 30
     ship(spark)
     edges = stars.union(rest.repartition("key").sortWithinPartitions("key").mapInArrow(neardup._unite, "a long, b long")).collect()

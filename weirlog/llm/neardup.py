@@ -5,9 +5,9 @@ Each representative is embedded by min-wise hashing; a run samples one coordinat
 representative into the bucket of its value there. Runs repeat until a pair at the threshold shares
 a bucket with the target recall. A bucket above `BUCKET` members is split again on sampled
 coordinates, down to `DEPTH` levels. Buckets are compared by brute force on sketches, which only
-unites documents into families (with a wide margin below the threshold). A large bucket is first compared
-with one of its members; those close to it are settled and only the others are split. What is
-still large at the last level is compared by blocks; no documents are united without a comparison. Inside each family every pair is then verified on the
+unites documents into families (with a wide margin below the threshold). At the first and the last level a
+large bucket is compared with one of its members; those close to it are settled and only the others
+are split, or at the last level compared by blocks; no documents are united without a comparison. Inside each family every pair is then verified on the
 exact sets, large families in blocks, bounded in members and in shingles, so that no task sees a
 whole one. Nothing is capped: a family of any size is compared in full.
 
@@ -140,7 +140,7 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _unite(batches):
-    """Buckets arrive whole and sorted; each yields a star of edges for every group of like sketches."""
+    """Buckets arrive whole and sorted; each yields a star of edges for every group of like sketches, groups that share a member as one."""
     key, rep, sk = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, COORDINATES), np.uint8)
 
     def edges(key, rep, sk):
@@ -153,9 +153,10 @@ def _unite(batches):
             left.append(i)
             right.append(i + d)
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        root = local_roots(a, b, len(key))
-        moved = np.flatnonzero(root != np.arange(len(key)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[root[moved]])], names=["a", "b"])
+        node, at = np.unique(rep, return_inverse=True)
+        root = local_roots(at[a], at[b], len(node))
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"])
 
     for batch in batches:
         key = np.concatenate((key, batch.column(0).to_numpy()))
@@ -180,24 +181,22 @@ def _family_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
         large = rows.filter(F.col("members") > BUCKET)
         if large.isEmpty():
             break
-        stars, far = _settled(large)
-        far = scratch.write(far.join(far.groupBy("key").agg(F.count("*").alias("left")), "key"))
-        found.append(stars)
-        leaves.append(far.filter(F.col("left") <= BUCKET).select("key", "rep", "sketch"))
-        far = far.filter(F.col("left") > BUCKET)
+        if level in (1, DEPTH):
+            stars, large = _settled(large, scratch)
+            found.append(stars)
         if level == DEPTH:
-            leaves.append(_in_blocks(far))
+            leaves.append(_in_blocks(large))
         else:
             # Coordinates are sampled by the bucket's path; the child's path is the parent's and the value there.
             child = [F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(COORDINATES)) + 1 for j in range(BRANCH[level - 1])]
             value = [F.xxhash64("key", c, F.substring("sketch", c.cast("int"), F.lit(1))) for c in child]
-            rows = far.select(F.explode(F.array_distinct(F.array(*value))).alias("key"), "rep", "sketch")
+            rows = large.select(F.explode(F.array_distinct(F.array(*value))).alias("key"), "rep", "sketch")
     buckets = reduce(DataFrame.union, leaves)
     return reduce(DataFrame.union, found, buckets.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_unite), "a long, b long"))
 
 
-def _settled(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of large buckets (key, rep, sketch, first): edges to their first member, and (key, rep, sketch) of members that are not settled by it.
+def _settled(large: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of large buckets (key, rep, sketch, members, first): edges to their first member, and (key, rep, sketch, members) of those not settled by it.
 
     Coordinates in which two sketches differ obey the triangle inequality. So a sketch that agrees with one
     close to the first in UNITE coordinates agrees with the first in UNITE - (COORDINATES - CLOSE); all of those
@@ -205,14 +204,14 @@ def _settled(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     centre = large.filter("rep = first").select("key", F.col("sketch").alias("centre")).dropDuplicates(["key"])
     agree = reduce(Column.__add__, [(F.substring("sketch", c, 1) == F.substring("centre", c, 1)).cast("int") for c in range(1, COORDINATES + 1)])
-    seen = large.join(centre, "key").select("key", "rep", "sketch", "first", agree.alias("agree"))
+    seen = scratch.write(large.join(centre, "key").select("key", "rep", "sketch", "members", "first", agree.alias("agree")))
     stars = seen.filter(F.col("agree") >= UNITE - COORDINATES + CLOSE).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    return stars, seen.filter(F.col("agree") < CLOSE).select("key", "rep", "sketch")
+    return stars, seen.filter(F.col("agree") < CLOSE).select("key", "rep", "sketch", "members")
 
 
 def _in_blocks(far: DataFrame) -> DataFrame:
-    """Buckets (key, rep, sketch) of two blocks each, in which all members of a bucket (key, rep, sketch, left) meet."""
-    blocks = F.ceil(F.col("left") / max(1, BUCKET // 2))
+    """Buckets (key, rep, sketch) of two blocks each, in which all of a bucket (key, rep, sketch, members) meet."""
+    blocks = F.ceil(F.col("members") / BUCKET)
     return _paired(far.select("key", "rep", "sketch", blocks.alias("blocks"))).select(F.xxhash64("key", "i", "j").alias("key"), "rep", "sketch")
 
 
