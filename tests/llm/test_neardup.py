@@ -49,10 +49,10 @@ def test_brute_force(spark):
     check(spark, documents(spark))
 
 
-@pytest.mark.parametrize(("bucket", "whole", "block"), [(4, 6, 3), (2, 2, 2)])
-def test_deep_paths_and_blocks(spark, monkeypatch, bucket, whole, block):
+@pytest.mark.parametrize(("bucket", "whole", "block", "direct"), [(4, 6, 3, 1), (2, 2, 2, 1), (2, 2, 2, 2)])
+def test_deep_paths_and_blocks(spark, monkeypatch, bucket, whole, block, direct):
     """Buckets that split down to the last level, and families that are compared in blocks."""
-    for name, v in (("BUCKET", bucket), ("WHOLE", whole), ("BLOCK", block)):
+    for name, v in (("BUCKET", bucket), ("WHOLE", whole), ("BLOCK", block), ("DIRECT", direct)):
         monkeypatch.setattr(neardup, name, v)
     check(spark, documents(spark))
 

@@ -6,8 +6,9 @@ representative into the bucket of its value there. Runs repeat until a pair at t
 a bucket with the target recall. A bucket above `BUCKET` members is split again on sampled
 coordinates, down to `DEPTH` levels. Buckets are compared by brute force on sketches, which only
 unites documents into families (with a wide margin below the threshold). At the first and the last level a
-large bucket is compared with one of its members; those close to it are settled and only the others
-are split, or at the last level compared by blocks; no documents are united without a comparison. Inside each family every pair is then verified on the
+large bucket is compared with one of its members and those close to it are settled. The others are
+compared by blocks where that is less work than splitting, and at the last level; no documents are
+united without a comparison. Inside each family every pair is then verified on the
 exact sets, large families in blocks, bounded in members and in shingles, so that no task sees a
 whole one. Nothing is capped: a family of any size is compared in full.
 
@@ -40,6 +41,9 @@ UNITE = 30
 #: Members up to which a bucket is compared by brute force; levels; coordinates sampled at the second level and below it,
 #: as many as keep a pair at the threshold together in some run whose buckets split at every level (a miss of 5e-8).
 BUCKET, DEPTH, BRANCH = 1024, 4, (3, 2, 2)
+#: Blocks of BUCKET members up to which a large bucket is compared block by block: as long as that sends a member fewer
+#: times than splitting it down all levels does (3 + 6 + 12). Larger ones are split.
+DIRECT = 8
 #: Sketches that agree with a large bucket's first member in so many coordinates are settled by it.
 CLOSE = 54
 #: Members of a block; of a family that is compared whole; shingles of a block, which ends sooner where texts are long.
@@ -184,9 +188,10 @@ def _family_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
         if level in (1, DEPTH):
             stars, large = _settled(large, scratch)
             found.append(stars)
-        if level == DEPTH:
-            leaves.append(_in_blocks(large))
-        else:
+        direct = F.lit(level == DEPTH) | (F.col("members") <= DIRECT * BUCKET)
+        leaves.append(_in_blocks(large.filter(direct)))
+        large = large.filter(~direct)
+        if level < DEPTH:
             # Coordinates are sampled by the bucket's path; the child's path is the parent's and the value there.
             child = [F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(COORDINATES)) + 1 for j in range(BRANCH[level - 1])]
             value = [F.xxhash64("key", c, F.substring("sketch", c.cast("int"), F.lit(1))) for c in child]
