@@ -48,6 +48,8 @@ DIRECT = 8
 CLOSE = 54
 #: Members of a block; of a family that is compared whole; shingles of a block, which ends sooner where texts are long.
 BLOCK, WHOLE, SHINGLES = 256, 512, 1 << 18
+#: Edges that a task holds before it merges them.
+PENDING = 1 << 17
 #: Bits for each member of a family in the bitmap that spares other texts the shuffle, and the bitmap's least and largest size (32 MB).
 BITS, BITMAPS = 8, (1 << 20, 1 << 28)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -143,22 +145,29 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+def joined(root: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The roots after further edges."""
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return local_roots(np.concatenate([moved, *a]), np.concatenate([root[moved], *b]), len(root))
+
+
 def _unite(batches):
     """Buckets arrive whole and sorted; each yields a star of edges for every group of like sketches, groups that share a member as one."""
     key, rep, sk = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, COORDINATES), np.uint8)
 
     def edges(key, rep, sk):
-        left, right = [], []
+        node, at = np.unique(rep, return_inverse=True)
+        root, a, b = np.arange(len(node)), [], []
         for d in range(1, len(key)):
             i = np.flatnonzero(key[:-d] == key[d:])
             if not len(i):
                 break
             i = i[(sk[i] == sk[i + d]).sum(1) >= UNITE]
-            left.append(i)
-            right.append(i + d)
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        node, at = np.unique(rep, return_inverse=True)
-        root = local_roots(at[a], at[b], len(node))
+            a.append(at[i])
+            b.append(at[i + d])
+            if sum(map(len, a)) > PENDING:
+                root, a, b = joined(root, a, b), [], []
+        root = joined(root, a, b)
         moved = np.flatnonzero(root != np.arange(len(node)))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"])
 
