@@ -1,6 +1,8 @@
 """Mutations: what is put into a clean log is what the audits report."""
 
+import hashlib
 import random
+import signal
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,47 @@ def test_rebalance_evens_out(spark):
     assert counts == [4, 4, 4] and len(moves) == 5
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_rebalance_takes_the_highest_affinity(spark, seed):
+    """Against one move after another; hosts may be repeated, null or of other owners."""
+    rng = random.Random(seed)
+    rows = [(None if not rng.randrange(40) else f"h{rng.randrange(150 if seed % 2 else 10**6)}", rng.choice(["a", "a", "a", "b", "b", "c", "gone", None])) for _ in range(300)]
+    members, most = ["e", "b", "a", "c", "d"], [None, 7, 1000, 60][seed]
+    held = {m: [h for h, o in rows if o == m] for m in sorted(members)}
+    want = []
+    while len(want) < (max(len(rows) // 64, 4) if most is None else most):
+        high, low = max(held, key=lambda m: (len(held[m]), m)), min(held, key=lambda m: (len(held[m]), m))
+        if len(held[high]) <= len(held[low]) + 1:
+            break
+        h = max(held[high], key=lambda x: hashlib.sha256(f"{low}/{x}".encode()).hexdigest())
+        held[high].remove(h)
+        held[low].append(h)
+        want.append((h, low))
+    assert rollup.rebalance(spark.createDataFrame(rows, "host string, owner string"), members, most) == want
+
+
+def test_rebalance_of_many_hosts(spark):
+    """A round over 300,000 hosts is 4,687 moves and must not try every host for each of them."""
+
+    def late(*_):
+        raise TimeoutError("rebalance took more than 90 s")
+
+    n = 300_000
+    hosts = spark.range(n).selectExpr("concat('h', id) AS host", "concat('n', id % 3) AS owner")
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(90)
+    try:
+        moves = rollup.rebalance(hosts, ["n0", "n1", "n2", "n3"])
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    affinity = lambda h: hashlib.sha256(f"n3/{h}".encode()).hexdigest()
+    k = n // 64
+    best = {j: iter(sorted((f"h{i}" for i in range(j, n, 3)), key=affinity, reverse=True)) for j in range(3)}
+    # Equal counts give in turn, the last by name first.
+    assert moves == [(next(best[2 - i % 3]), "n3") for i in range(k)]
+
+
 def test_sliding_follows_the_tracker(spark):
     rng = random.Random(4)
     rows, s = [], 0

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
+from heapq import heapify, heapreplace
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirlog.shipping import ship
+
 # What an object-store request is billed as; every other one is class A.
 REQUEST_CLASS = {"get": "b", "get_range": "b", "head": "b", "delete": "free", "mpu_abort": "free"}
 STAR_AT = 256
@@ -141,27 +147,79 @@ def resume_feed(feed: DataFrame, after: int, capacity: int) -> DataFrame:
 
 
 def rebalance(hosts: DataFrame, members: list[str], most: int | None = None) -> list[tuple[str, str]]:
-    """Moves (host, new owner) that even out owned hosts among members until no two differ by more than one.
+    """The moves (host, new owner) of `rebalance_moves` in order, on the driver."""
+    return [(r["host"], r["owner"]) for r in rebalance_moves(hosts, members, most).orderBy("step").collect()]
+
+
+def rebalance_moves(hosts: DataFrame, members: list[str], most: int | None = None) -> DataFrame:
+    """Moves (step, host, owner: the new one) that even out owned hosts among members until no two differ by more than one.
 
     Each takes from the member with the most (of equals the last by name) to the one with the fewest (the first by
-    name), the host of the receiver's highest affinity; a round makes at most a 64th of all hosts, at least 4. The
-    host table is a cluster's own, so the rows of its members fit the driver.
+    name), the host of the receiver's highest affinity; a round makes at most a 64th of all hosts, at least 4.
+
+    Who gives and who receives follows from the counts alone, and no member does both. So a giver's hosts are chosen
+    in a task of its own, from those that can be: of each receiver's ranking as many of the first as the giver gives.
+    """
+    names = sorted(set(members))
+    ranked = hosts.select("host", "owner").filter(F.col("owner").isin(names))
+    total = hosts.count() if most is None else 0
+    held = dict.fromkeys(names, 0) | {r["owner"]: r["count"] for r in ranked.groupBy("owner").count().collect()}
+    gives, takes = _even_out([held[m] for m in names], max(total // 64, 4) if most is None else most)
+    schema = f"step long, host {hosts.schema['host'].dataType.simpleString()}, owner string"
+    if not len(gives):
+        return hosts.sparkSession.createDataFrame([], schema)
+    turns = {names[g]: (at := np.flatnonzero(gives == g), takes[at]) for g in np.unique(gives).tolist()}
+    needs = F.create_map(*(F.lit(x) for g, (at, _) in turns.items() for x in (g, len(at))))
+    receivers = F.array(*(F.lit(names[t]) for t in np.unique(takes).tolist()))
+    pairs = ranked.filter(F.col("owner").isin(list(turns))).select("host", "owner", F.explode(receivers).alias("receiver"))
+    pairs = pairs.withColumn("affinity", F.sha2(F.concat("receiver", F.lit("/"), F.coalesce(F.col("host").cast("string"), F.lit("None"))), 256))
+    # The bucket in which a receiver's ranking has as many hosts as the giver gives; at most 4,096 a pair.
+    bucket = F.conv(F.substring("affinity", 1, 3), 16, 10).cast("int")
+    sums = pairs.groupBy("owner", "receiver", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("owner", "receiver").orderBy(F.col("bucket").desc())) - F.col("n")
+    edge = sums.withColumn("above", above).filter(F.col("above") < F.element_at(needs, F.col("owner"))).groupBy("owner", "receiver").agg(F.min("bucket").alias("low"))
+    able = pairs.join(F.broadcast(edge), ["owner", "receiver"]).filter(bucket >= F.col("low")).groupBy("owner", "receiver", "affinity", "host").agg(F.count("*").alias("copies"))
+
+    def choose(key, table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.sort_by([("affinity", "descending")]).combine_chunks()
+        host = pc.dictionary_encode(table["host"].combine_chunks(), null_encoding="encode")
+        code, receiver = host.indices.to_numpy(), table["receiver"].to_numpy(zero_copy_only=False)
+        left = np.zeros(len(host.dictionary), np.int64)
+        left[code] = table["copies"].to_numpy()
+        left = left.tolist()
+        ranking = {r: iter(code[receiver == r].tolist()) for r in set(receiver)}
+        first = {r: next(x) for r, x in ranking.items()}
+        steps, to = turns[key[0].as_py()]
+        chosen = []
+        for r in (names[t] for t in to.tolist()):
+            while not left[first[r]]:
+                first[r] = next(ranking[r])
+            left[first[r]] -= 1
+            chosen.append(first[r])
+        return pa.table({"step": pa.array(steps, pa.int64()), "host": host.dictionary.take(pa.array(chosen)), "owner": pa.array([names[t] for t in to.tolist()])})
+
+    ship(hosts.sparkSession)
+    return able.groupBy("owner").applyInArrow(choose, schema)
+
+
+def _even_out(counts: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Giver and receiver of each move, by place.
+
+    A member that received has one more than the fewest at most, and one that gave has one less than the most at
+    least: neither can change sides while two still differ by more than one, so each side keeps its own counts.
     """
-    import hashlib
-
-    rows = hosts.select("host", "owner").collect()
-    held: dict[str, list[str]] = {m: [] for m in sorted(members)}
-    for r in rows:
-        if r["owner"] in held:
-            held[r["owner"]].append(r["host"])
-    affinity = lambda m, h: hashlib.sha256(f"{m}/{h}".encode()).hexdigest()
-    limit, out = max(len(rows) // 64, 4) if most is None else most, []
-    while held and len(out) < limit:
-        high, low = max(held, key=lambda m: (len(held[m]), m)), min(held, key=lambda m: (len(held[m]), m))
-        if len(held[high]) <= len(held[low]) + 1:
-            break
-        h = max(held[high], key=lambda x: affinity(low, x))
-        held[high].remove(h)
-        held[low].append(h)
-        out.append((h, low))
-    return out
+    high, low = [(-n, -i) for i, n in enumerate(counts)], [(n, i) for i, n in enumerate(counts)]
+    heapify(high)
+    heapify(low)
+    gives, takes = array("l"), array("l")
+    while high and len(gives) < most and -high[0][0] > low[0][0] + 1:
+        (n, i), (m, j) = high[0], low[0]
+        heapreplace(high, (n + 1, i))
+        heapreplace(low, (m + 1, j))
+        gives.append(-i)
+        takes.append(j)
+    return np.array(gives, np.int64), np.array(takes, np.int64)

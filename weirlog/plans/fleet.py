@@ -95,7 +95,7 @@ def host_assignment(spark, d):
 def host_rebalance(spark, d):
     """One round after a member joined without hosts."""
     hosts = table(spark, d, "customer").select(F.col("c_name").alias("host"), F.concat(F.lit("n"), (F.col("c_custkey") % 3).cast("string")).alias("owner"))
-    return values(spark, rollup.rebalance(hosts, ["n0", "n1", "n2", "n3"]), "host string, owner string")
+    return rollup.rebalance_moves(hosts, ["n0", "n1", "n2", "n3"]).orderBy("step").select("host", "owner")
 
 
 def account_moves(spark, d):
