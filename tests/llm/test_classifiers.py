@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -185,3 +186,29 @@ def test_severity_as_a_plain_sum(spark):
                     times[h] = times.get(h, 0) + 1
         s = sum(np.log1p(n) * model.weights[model.number[h]] for h, n in times.items())
         assert abs(r["severity"] - sum(1 / (1 + np.exp(t - s)) for t in model.thresholds)) < 1e-6
+
+
+def test_quality_learns_from_one_copy_of_the_rows(monkeypatch):
+    """The driver holds up to 36,000 rows of features; learning must not double them."""
+    monkeypatch.setattr(quality, "STEPS", 20)
+    rng = np.random.default_rng(5)
+    positive, unlabelled = (rng.random((n, quality.SIZE), np.float32) for n in (6_000, 12_000))
+    halves = tuple(np.repeat(np.arange(2), len(m) // 2) for m in (positive, unlabelled))
+    tracemalloc.start()
+    try:
+        probes = quality.probe(positive, unlabelled, halves)
+        quality.fit(probes, probes.counts(np.zeros((10, quality.SIZE), np.float32), np.arange(10) % 2, probes.edges()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < positive.nbytes + unlabelled.nbytes
+
+
+def test_quality_rows_reach_the_driver_unchanged(spark):
+    texts = [f"Line {i}!\n" * (i % 7) + "x" * (i % 11) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    x, halves = quality._featured(docs.selectExpr("doc_id", "cast(text as binary) as text"))
+    told = {r["doc_id"]: r["half"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'half'), 2) as half").collect()}
+    for k in range(2):
+        want = quality.features([texts[i].encode() for i in range(300) if told[i] == k])
+        assert np.array_equal(x[halves == k], want)

@@ -123,10 +123,11 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float
 
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> tuple[np.ndarray, float]:
     """Weights and bias of least logistic risk; without a prior, of positives against unlabelled rows."""
-    size = positive.shape[1]
+    size, kind = positive.shape[1], positive.dtype
     x, adam = np.zeros(size + 1), Adam(size + 1, RATE)
     for step in range(STEPS):
-        gp, gu = (sigmoid(m @ x[:size] + x[size]) for m in (positive, unlabelled))
+        # Products are taken in the rows' own type, so that no other copy of them is made.
+        gp, gu = (sigmoid((m @ x[:size].astype(kind)).astype(np.float64) + x[size]) for m in (positive, unlabelled))
         if prior is None:
             dp, du = (gp - 1) / len(gp), gu / len(gu)
         else:
@@ -136,16 +137,28 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> t
                 dp, du = (prior * (gp - 1) - prior * gp) / len(gp), gu / len(gu)
             else:
                 dp, du = prior * gp / len(gp), -gu / len(gu)
-        gradient = np.concatenate((dp @ positive + du @ unlabelled, [dp.sum() + du.sum()]))
+        gradient = np.concatenate((dp.astype(kind) @ positive + du.astype(kind) @ unlabelled, [dp.sum() + du.sum()]), dtype=np.float64)
         gradient[:size] += DECAY * x[:size]
         adam.rate = RATE * (1 - step / STEPS)
         x = adam.step(x, gradient)
     return x[:size], float(x[size])
 
 
+def _blocks(rows: np.ndarray):
+    """Some thousand rows at a time, in double precision."""
+    for a in range(0, len(rows), 2048):
+        yield rows[a : a + 2048].astype(np.float64)
+
+
+def _of_half(rows: np.ndarray, halves: np.ndarray, half: int) -> np.ndarray:
+    """The rows of a half, not copied; halves ascend."""
+    a, b = np.searchsorted(halves, (half, half + 1))
+    return rows[a:b]
+
+
 @dataclass
 class Probes:
-    """Rows learnt from, standardised, and three models of positives against unlabelled rows: one of all rows, one of each half."""
+    """Rows learnt from, standardised, and three models of positives against unlabelled rows: one of all rows, one of each half. Rows come by ascending half."""
 
     mean: np.ndarray
     spread: np.ndarray
@@ -160,8 +173,8 @@ class Probes:
     def judged(self, k: int) -> np.ndarray:
         """Scores that model k gives to positives: to all, or, if it learnt from one half, to the other."""
         w, b = self.models[k]
-        unseen = self.positive[self.halves[0] == 2 - k] if k else self.positive
-        return (unseen if len(unseen) else self.positive) @ w + b
+        unseen = _of_half(self.positive, self.halves[0], 2 - k) if k else self.positive
+        return np.concatenate([m @ w + b for m in _blocks(unseen if len(unseen) else self.positive)])
 
     def edges(self) -> np.ndarray:
         return np.array([_edges(self.judged(k)) for k in range(3)])
@@ -176,12 +189,20 @@ class Probes:
 
 
 def probe(positive: np.ndarray, unlabelled: np.ndarray, halves: tuple[np.ndarray, np.ndarray]) -> Probes:
-    """Model 1 learns from the rows of half 0, model 2 from those of half 1; a half without rows of a kind takes the other's."""
-    both = np.vstack((positive, unlabelled))
-    out = Probes(both.mean(0), both.std(0) + 1e-3, positive, unlabelled, halves, [])
-    out.positive, out.unlabelled = (out.scaled(m).astype(np.float64) for m in (positive, unlabelled))
+    """Model 1 learns from the rows of half 0, model 2 from those of half 1; a half without rows of a kind takes the other's.
+
+    Rows come by ascending half and are standardised in place: on a driver with little memory there is one copy of them.
+    """
+    both, n = (positive, unlabelled), len(positive) + len(unlabelled)
+    mean = sum(x.sum(0) for m in both for x in _blocks(m)) / n
+    spread = np.sqrt(sum(((x - mean) ** 2).sum(0) for m in both for x in _blocks(m)) / n) + 1e-3
+    out = Probes(mean.astype(np.float32), spread.astype(np.float32), positive, unlabelled, halves, [])
+    for m in both:
+        m -= out.mean
+        m /= out.spread
+        np.clip(m, -6, 6, out=m)
     for k in range(3):
-        sides = [m[h == k - 1] if k and (h == k - 1).any() else m for m, h in zip((out.positive, out.unlabelled), halves, strict=True)]
+        sides = [own if k and len(own := _of_half(m, h, k - 1)) else m for m, h in zip(both, halves, strict=True)]
         out.models.append(_fit(*sides, None))
     return out
 
@@ -209,15 +230,25 @@ def _half():
 
 
 def _featured(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and halves of a bounded set of rows (text binary), on the driver."""
+    """Features and halves of a bounded set of rows (text binary), on the driver, by ascending half. Most shares are zero, so they travel packed."""
 
     def go(batches):
         for batch in batches:
             for a, b, x in _batches(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)[a:b]], names=["x", "half"])
-
-    found = rows.select("text", _half()).mapInArrow(lean(go), "x binary, half int").toArrow()
-    return np.frombuffer(b"".join(found.column(0).to_pylist()), np.float32).reshape(-1, SIZE), found.column(1).to_numpy()
+                half = batch.column(1)[a:b].to_numpy().astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([half.tobytes()], pa.binary())], names=["x", "half"])
+
+    found = rows.select("text", _half()).mapInArrow(lean(go), "x binary, half binary").toArrow()
+    halves = [np.frombuffer(h.as_py(), np.int8) for h in found.column(1)]
+    ends = np.cumsum([sum(int((h == k).sum()) for h in halves) for k in range(2)])
+    out, at = np.empty((ends[1], SIZE), np.float32), [0, ends[0]]
+    for packed, half in zip(found.column(0), halves, strict=True):
+        x = np.frombuffer(pa.decompress(packed.as_buffer(), len(half) * SIZE * 4, "zstd"), np.float32).reshape(-1, SIZE)
+        for k in range(2):
+            own = x[half == k]
+            out[at[k] : at[k] + len(own)] = own
+            at[k] += len(own)
+    return out, np.repeat(np.arange(2), np.diff(ends, prepend=0))
 
 
 def _counted(rows: DataFrame, probes: Probes) -> np.ndarray:
